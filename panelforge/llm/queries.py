@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_rules, mixing, packing, topk
+from . import jaccard_join, line_rules, mixing, packing, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,12 @@ QUERIES: dict[str, Query] = {
     "op3_exact_topk": _over("embeddings", topk.topk_query),
     "op5_line_rules": _over("documents", line_rules.quality_query),
     "op7_packing": _over("documents", packing.pack),
+    "op8_jaccard_join": _over("documents", jaccard_join.near_duplicates),
     "op10_mixing": _over("documents", mixing.mixing_query),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": topk.ORACLE,
     "op5_line_rules": line_rules.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
 }
