@@ -1,8 +1,61 @@
-"""Corpus pipeline."""
+"""The corpus pipeline: quality rules, near duplicates, personal data, source mix, packing.
 
-STAGES = []
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
+``run`` writes each stage's result as Parquet in the shared folder and hands the reread table on.
+All but the last stage return the columns of their input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm import jaccard_join, line_rules, mixing, packing, pii
+from panelforge.llm.common import materialize, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line rules keep, without their failing lines. Documents that lose no line
+    stay as they are."""
+    out = line_rules.clean_lines(docs).filter("kept")
+    changed = F.col("lost_chars") > 0
+    new = {"text": F.when(changed, F.col("clean_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns(new).select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component; of rows that share that id, one. The
+    others' ids are removed by a semi-join on the survivors."""
+    keep = jaccard_join.near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return out.dropDuplicates(["doc_id"])
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = pii.surrogates(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_pii_n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("ngram_jaccard_join", deduplicate), ("pii", private), ("mixing", mix), ("packing", pack)]
+
+#: The mix and the packing's program can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, f in STAGES:
+        docs = materialize(f(spark, docs, sf_dir), f"pipeline_{name}")
+    return docs

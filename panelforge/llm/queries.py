@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, line_rules, mixing, packing, quality_rff, topk, toxicity, url_lm
+from . import jaccard_join, licenses, line_rules, mixing, packing, pii, quality_rff, topk, toxicity, url_lm
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,9 @@ QUERIES: dict[str, Query] = {
     "op1_url_filter": _over("pages", url_lm.filter_urls),
     "op2_quality": _labelled(quality_rff.quality_scores),
     "op3_exact_topk": _over("embeddings", topk.topk_query),
+    "op4_pii_surrogates": _over("documents", pii.pii_query),
     "op5_line_rules": _over("documents", line_rules.quality_query),
+    "op6_license_scan": _over("documents", licenses.scan_licenses),
     "op7_packing": _over("documents", packing.pack),
     "op8_jaccard_join": _over("documents", jaccard_join.near_duplicates),
     "op9_toxicity": _labelled(toxicity.toxicity_scores),
