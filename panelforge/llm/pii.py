@@ -26,6 +26,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, small_batches
 
@@ -348,7 +349,7 @@ def surrogates(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
     docs = docs.withColumn(text, F.col(text).cast("string"))
     m = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_mentions, "doc_id long, kind string, canon string"), "pii_mentions")
     exc = materialize(exceptions(m, key), "pii_exceptions")
-    schema = docs.schema.add("_pii_n", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_pii_n", T.LongType())])
     n = exc.count()
     if not n:
         return docs.mapInArrow(_rewrite(names.index(text), names, key, False), schema)
