@@ -9,10 +9,10 @@ decreasing. Documents are ranked within their class, and a rank gives the sequen
 the patterns' ranges: nothing larger than the histogram reaches the driver, and the pattern table
 that is broadcast is bounded by classes x classes.
 
-The ids come from the ``tokenizers`` library. Byte-level BPE never joins ids over a single space
-or line end between two non-blank characters, so a text's ids are the ids of its space-led words put together;
-words seen before come from a cache of bounded size. ``tests/llm`` holds this against encoding whole
-texts.
+The ids come from the merges of the ``tokenizers`` library. Byte-level BPE never joins ids over a
+single space between two non-blank characters, so a text's ids are those of its space-led words put
+together; words seen before come from a cache of bounded size. ``tests/llm`` holds this against the
+library's encoding of whole texts.
 
 Defined results: null and empty texts hold only the closing id 0. Repeated rows are packed one by
 one. Ids within a document are neither dropped nor repeated.
@@ -21,6 +21,7 @@ one. Ids within a document are neither dropped nor repeated.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -35,8 +36,8 @@ from .common import materialize, small_batches
 CAPACITY = 1024
 GRAIN = 4
 END_ID = 0
-#: Words kept in each worker's cache of ids; it is emptied when full.
-CACHE_WORDS = 200_000
+#: Words in each of the two generations of a worker's cache of ids.
+CACHE_WORDS = 250_000
 CACHED_LENGTH = 24
 #: Rounds of column generation at most; the patterns found until then are used.
 MAX_ROUNDS = 4000
@@ -54,47 +55,71 @@ def tokenizer_path() -> str:
 _ODD_SPACE = re.compile(r"\s |^ | $| \s")
 
 
-class Encoder:
-    """ids of a text as little-endian unsigned 32-bit bytes."""
+def _byte_letters() -> dict[int, str]:
+    """The printable characters that byte-level BPE writes for bytes: printable ones stand for
+    themselves, the others follow from 256 on."""
+    same = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in same]
+    return {b: chr(b) for b in same} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """ids of a text as little-endian unsigned 32-bit bytes. As a dictionary: a word's ids, with the
+    space before it; two generations of CACHE_WORDS words each."""
 
     def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+        self.model = self.tok.model
+        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return self._ids([text])[0]
+        """The library's own encoding of a whole text."""
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def piece(self, s: str) -> bytes:
+        """A piece of the tokenizer's own cutting goes through its merges."""
+        ids = [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def run(self, s: str) -> bytes:
+        out = []
+        for p in self.pieces(s):
+            if p[0] == " " and len(p) > 1:
+                out.append(self[p[1:]] if p != s else self.piece(p))
+            else:
+                out.append(self.piece(p))
+        return b"".join(out)
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            s = " " + word
+            found = self.piece(s) if word.isalpha() else self.run(s)
+            if len(word) > CACHED_LENGTH or "\n" in word:
+                return found
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if _ODD_SPACE.search(text):
             parts = _split_odd(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + x for x in rest]]
-        cache = self.cache
-        miss = list({p for p in parts if p not in cache})
-        own: dict[str, bytes] = {}
-        if miss:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-                miss = list(set(parts))
-            for i in range(0, len(miss), 4096):
-                some = miss[i : i + 4096]
-                for p, b in zip(some, self._ids(some), strict=True):
-                    if len(p) <= CACHED_LENGTH and "\n" not in p:
-                        cache[p] = b
-                    else:
-                        own[p] = b
-        if own:
-            return b"".join([own[p] if p in own else cache[p] for p in parts])
-        return b"".join(map(cache.__getitem__, parts))
+            return b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 and not p[1].isspace() else self.run(p) for p in parts])
+        first, _, rest = text.partition(" ")
+        if not rest:
+            return self.run(first)
+        return self.run(first) + b"".join(map(self.__getitem__, rest.split(" ")))
 
 
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
