@@ -26,11 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; of rows that share that id, one. The
-    others' ids are removed by a semi-join on the survivors."""
-    keep = jaccard_join.near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """The document with the smallest id of each component; of rows that share that id, one. Rows
+    without an id can't be told apart and stay. Texts are shuffled once, by id."""
+    keep = jaccard_join.near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    out = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    return out.unionByName(docs.filter("doc_id is null"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

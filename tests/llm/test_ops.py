@@ -1,0 +1,384 @@
+"""The training-data operators against brute force, and their defined results on odd input."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from panelforge.llm import jaccard_join, licenses, line_rules, mixing, packing, pii, quality_rff, topk, toxicity, url_lm
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", None, 4), (4, "one", "en", "a", 3), (4, "one", "en", "a", 3), (None, "two words", None, "b", 9), (5, "word " * 30000, "en", "a", 150000), (6, "same line.\nsame line.\n", "en", "b", 22)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empties, a long text, repeats, and columns whose names clash with helpers."""
+    return spark.createDataFrame(ODD, DOCS).withColumns({"n": F.lit(1), "d": F.lit("x"), "level": F.lit(2), "size": F.lit(3), "rank": F.lit(0)})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# --- 1 ---
+
+
+def test_urls_rules_and_models(spark):
+    rng = random.Random(1)
+    good = [f"https://site{i % 7}.example.net/de/{rng.randint(1000, 7999)}.html" for i in range(200)]
+    bad = [f"http://ads.example.com/en/{rng.randint(100, 699)}?click={i}" for i in range(200)]
+    odd = [None, "", "no scheme", "x://", "http://EXAMPLE.com/en/7a#b", "http://example.com?x", "http://a.org/es/1", "http://a.org/fr/1", "http://notexample.com/en/7"]
+    pages = spark.createDataFrame(list(enumerate(good + bad + odd)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_lm.filter_urls(pages).collect()}
+    assert len(got) == 409
+    o = [got[400 + i] for i in range(len(odd))]
+    assert [(r["host"], r["path"]) for r in o[:6]] == [("", ""), ("", ""), ("", ""), ("", ""), ("example.com", "/en/7a"), ("example.com", "")]
+    assert (o[4]["rule"], o[4]["verdict"]) == ("example.com/en/7", "allow") and (o[6]["rule"], o[6]["verdict"]) == ("org/es/", "block")
+    assert o[7]["rule"] is None and o[8]["rule"] == "com/en/"
+    assert all(got[i]["verdict"] == "allow" for i in range(200)) and all(got[200 + i]["verdict"] == "block" for i in range(200))
+    assert np.mean([got[i]["score"] for i in range(200)]) > 0 > np.mean([got[200 + i]["score"] for i in range(200)])
+
+
+def test_urls_without_labels(spark):
+    pages = spark.createDataFrame([(1, "http://a.info/x"), (1, "http://a.info/x")], "page_id long, url string")
+    assert [r["verdict"] for r in url_lm.filter_urls(pages).collect()] == ["allow", "allow"]
+    assert url_lm.filter_urls(pages.limit(0)).count() == 0
+
+
+# --- 2, 9 ---
+
+
+def _split(got, labels, column):
+    y = {r["doc_id"]: r[column] for r in labels.collect()}
+    held = [(r["score"], r["predicted"], y[r["doc_id"]]) for r in got if r["held_out"] and y.get(r["doc_id"]) is not None]
+    return held
+
+
+def test_quality_held_out(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    got = quality_rff.quality_scores(d, lab).collect()
+    assert len(got) == d.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    held = _split(got, lab, "quality")
+    assert np.mean([p == y for _, p, y in held]) > 0.95
+
+
+def test_toxicity_held_out(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    held = _split(toxicity.toxicity_scores(d, lab).collect(), lab, "toxic")
+    assert np.mean([p == y for _, p, y in held]) > 0.97
+    toxic = [p for _, p, y in held if y]
+    assert np.mean(toxic) > 0.85
+
+
+@pytest.mark.parametrize("f", [quality_rff.quality_scores, toxicity.toxicity_scores])
+def test_scores_of_odd_input(spark, odd, empty, f):
+    lab = spark.createDataFrame([(2, 1, 0), (4, 0, 1), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for labels in (lab, lab.limit(0)):
+        got = f(odd, labels).collect()
+        assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    assert f(empty, lab).count() == 0
+
+
+def test_isotonic_is_the_best_monotone_fit():
+    rng = np.random.default_rng(3)
+    y, w = rng.random(30), rng.integers(1, 5, 30).astype(float)
+    p = quality_rff.isotonic(np.arange(30), y, w)
+    assert (np.diff(p) >= -1e-12).all() and math.isclose((p * w).sum(), (y * w).sum())
+    want = [max(min(np.average(y[a : b + 1], weights=w[a : b + 1]) for b in range(i, 30)) for a in range(i + 1)) for i in range(30)]
+    assert np.allclose(p, want)
+
+
+# --- 3 ---
+
+
+def test_topk_brute_force(spark):
+    rng = np.random.default_rng(4)
+    v = (rng.normal(size=(900, 12)) * rng.uniform(0.1, 3, (900, 1))).astype("float32")
+    v[300:340] = v[0]
+    rows = [(i, [float(x) for x in v[i]]) for i in range(900)] + [(1000, None), (1100, [1.0, None] + [0.0] * 10), (1200, [float("nan")] * 12), (1300, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = topk.quantised(df)
+    got = topk.top_k(q, q.filter("vec_id % 100 = 0"), block=128, query_block=4).collect()
+    z = np.floor(1024 * v.astype(float)).astype(np.int64)
+    for qid in range(0, 900, 100):
+        s = z @ z[qid]
+        want = sorted((-int(s[i]), i) for i in range(900) if i != qid)[:10]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == qid] == want
+    assert len(got) == 90 and topk.topk_query(df.limit(0)).count() == 0
+
+
+# --- 4 ---
+
+
+def test_surrogates(spark, odd, empty):
+    t = 'Mail jo.81@mail7.example.com or JO.81@MAIL7.EXAMPLE.COM, +1 (826) 555-4081, 190.137.22.8, card 9807915762804490, token = "5aad00685accefdd91653537b82ad0dab34e35e3"; Mrs. Anna Kowalski, later Kowalski. г-н Иван Петров'
+    clean = "In 2023 version 2.0 cost 1,200 and 3.5 or 12:30. The end of 100 days."
+    df = spark.createDataFrame([(1, t), (2, t), (3, clean), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pii_query(df).collect()}
+    assert got[3]["text"] == clean and got[4]["text"] is None and got[1]["text"] == got[2]["text"]
+    new = got[1]["text"]
+    for secret in ("jo.81@", "JO.81@", "555-4081", "190.137.22.8", "9807915762804490", "5aad0068", "Anna", "Kowalski", "Иван", "Петров"):
+        assert secret not in new
+    mails = re.findall(r"[\w.]+@[\w.]+", new)
+    assert mails[0] == mails[1].lower() and mails[1].isupper()
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new) and re.search(r"card \d{16},", new)
+    given, family = re.search(r"Mrs\. (\w+) (\w+)", new).groups()
+    assert given in pii.NAMES["latin", "f"] and f"later {family}." in new and pii.script_of(new.split()[-1]) == "cyrillic"
+    assert pii.surrogates(odd).columns == [*odd.columns, "_pii_n"] and pii.pii_query(empty).count() == 0
+    assert {r["text"] for r in pii.surrogates(odd).collect()} == {x[1] for x in ODD}
+
+
+def test_permutations_are_bijections():
+    assert len({pii.permute(b"k", "t", f"{i:03d}", 10) for i in range(1000)}) == 1000
+    assert len({pii.permute(b"k", "t", f"{i:02x}", 16) for i in range(256)}) == 256
+    for c in ("9807915762804490", "4539148803436467"):
+        assert pii.luhn(pii.surrogate("card", c)) == pii.luhn(c)
+
+
+def test_collisions_are_redrawn(spark):
+    people = [(i, f"Mr. {g} {s}") for i, (g, s) in enumerate((a, b) for a in pii.NAMES["latin", "m"] for b in ("Meier", "Huber", "Klein"))]
+    df = spark.createDataFrame(people, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pii_query(df).collect()}
+    pairs = {}
+    for i, t in people:
+        for old, new in zip(t.split()[1:], got[i].split()[1:], strict=True):
+            assert pairs.setdefault(old, new) == new
+    assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
+
+
+# --- 5 ---
+
+
+def _repeat_words(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", text or "") if x]
+    n = Counter(zip(w, w[1:], w[2:]))
+    return len({j for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)})
+
+
+def test_line_rules(spark, odd, empty):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "b", "c", "dd", "e\n", "f\x0b"]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in line_rules.quality_query(df).collect():
+        assert r["n_repeat_words"] == _repeat_words(texts[r["doc_id"]])
+    prose = "\n".join(" ".join(f"w{rng.randint(0, 999)}" for _ in range(15)) + ", and so on." for _ in range(12))
+    nav = "Home | About | Contact | Login | Search\n"
+    rows = spark.createDataFrame([(1, nav + prose), (2, nav * 40), (3, "\n".join(f"word{i}%%% other{i}*** thing{i}###" for i in range(60)))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_rules.clean_lines(rows).collect()}
+    assert got[1]["kept"] and got[1]["clean_text"] == prose and not got[2]["kept"] and not got[3]["kept"]
+    assert [r["kept"] for r in line_rules.clean_lines(odd).collect()] == [False] * len(ODD)
+    assert line_rules.clean_lines(odd).columns[: len(odd.columns)] == odd.columns and line_rules.quality_query(empty).count() == 0
+
+
+def test_repeat_count_survives_hash_collisions(spark, monkeypatch):
+    monkeypatch.setattr(line_rules, "POS_BITS", 60)  # hash bits are shifted out: every window collides
+    texts = ["a b c d a b c e", "x y z", "a a a a a", "p q r s t u v"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in line_rules.quality_query(df).collect():
+        assert r["n_repeat_words"] == _repeat_words(texts[r["doc_id"]])
+
+
+# --- 6 ---
+
+
+def test_licenses(spark, odd, empty):
+    filler = "lorem some other words that fill the text up to a length " * 5
+    rows = []
+    for i, (_, notice) in enumerate(licenses.TEMPLATES):
+        rows += [(i, f"{filler}{notice} {filler}")]
+    rows.append((100, filler))
+    changed = licenses.TEMPLATES[5][1].replace("hereby ", "", 1)
+    rows.append((101, filler + changed + filler))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan_licenses(df).collect()
+    for i in range(len(licenses.TEMPLATES)):
+        assert any(r["doc_id"] == i and r["template"] == i and r["containment"] == 1.0 for r in got)
+    assert not any(r["doc_id"] == 100 for r in got)
+    near = [r for r in got if r["doc_id"] == 101 and r["template"] == 5]
+    assert near and licenses.CONTAINMENT <= near[0]["containment"] < 1
+    assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(empty).count() == 0
+
+
+# --- 7 ---
+
+
+def test_encoder_is_exact():
+    e = packing.Encoder(packing.tokenizer_path())
+    rng = random.Random(6)
+    bits = ["a", "Bc", " ", "  ", "\n", "'s", "'", "é", "1", ".", "!!", "\t", "\u00a0", "<|endoftext|>", "日本", "\x1f", "🙂", "don't", "word,"]
+    for _ in range(3000):
+        s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 15)))
+        assert e(s) == e.whole(s), repr(s)
+
+
+def test_packing(spark, odd, empty):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    rows = packing.pack(d).collect()
+    e = packing.Encoder(packing.tokenizer_path())
+    want = Counter()
+    for r in d.collect():
+        ids = np.frombuffer(e.whole(r["text"] or ""), "<u4").tolist() + [0]
+        want[r["doc_id"], len(ids)] += len(ids)
+    have = Counter()
+    for r in rows:
+        have[r["doc_id"], r["doc_tokens"]] += r["length"]
+    assert have == want
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append(r)
+    used = padded = 0
+    for pieces in by.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+        used, padded = used + at, padded + (at if at & (at - 1) == 0 else 1024)
+    assert used / padded > 0.98 and packing.pack(empty).count() == 0
+
+
+def test_column_generation_reaches_the_bound():
+    rng = random.Random(7)
+    demand = Counter(rng.randint(1, 128) for _ in range(3000))
+    plans = packing.plan(dict(demand), 256)
+    out = Counter()
+    for p, n in plans:
+        assert sum(c * k for c, k in p.items()) <= 256
+        for c, k in p.items():
+            out[c] += k * n
+    assert out == demand
+    assert sum(n for _, n in plans) <= math.ceil(sum(c * n for c, n in demand.items()) / 256) * 1.01 + 2
+
+
+# --- 8 ---
+
+
+def _brute(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = [x for x in re.split(r"[\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if x]
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_jaccard_components(spark, empty):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(60)]
+    texts, i = {}, 0
+    passage = " ".join(rng.choice(vocab) for _ in range(30))
+    for _ in range(25):
+        base = [rng.choice(vocab) for _ in range(rng.choice([3, 5, 40, 120]))]
+        for _ in range(rng.choice([1, 2, 12])):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            texts[i] = (passage + " " if rng.random() < 0.4 else "") + (" ".join(w).upper() if rng.random() < 0.3 else "\n".join(w))
+            i += 1
+    texts |= {1000: None, 1001: "", 1002: " \t", 1003: "one two", 1004: "ONE  two", 1005: "one two three"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == _brute(texts)
+    assert jaccard_join.near_duplicates(empty).count() == 0
+
+
+def test_jaccard_odd(spark, odd):
+    got = jaccard_join.near_duplicates(odd).collect()
+    assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] == 4} == {4}
+
+
+# --- 10 ---
+
+
+def _targets(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(names)}
+    t, live, left = {}, set(names), 1.5 * sum(sizes.values())
+    t = dict.fromkeys(names, 0.0)
+    while live:
+        total = sum(w[s] for s in live)
+        share = {s: left * w[s] / total for s in live}
+        over = [s for s in live if share[s] >= 2 * sizes[s]]
+        if not over:
+            return t | share
+        for s in over:
+            t[s] = 2.0 * sizes[s]
+            left -= t[s]
+        live -= set(over)
+    return t
+
+
+def test_mixing(spark, odd, empty):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(0, 300), None if i % 11 == 0 else f"s{min(int(rng.expovariate(0.5)), 6)}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixing_query(df).collect()
+    again = mixing.mixing_query(df.repartition(7)).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
+    size, taken = Counter(), Counter()
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] % max(1, r["size"]) == 0
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    want = _targets(dict(size))
+    for s in size:
+        assert abs(taken[s] - want[s]) <= 300
+    assert all(math.isclose(r["target"], want[r["source"]], rel_tol=1e-9) and r["source_size"] == size[r["source"]] for r in got)
+    assert len(mixing.mixing_query(odd).collect()) == len(ODD) and mixing.mixing_query(empty).count() == 0
+    assert mixing.mix(df).columns == df.columns and mixing.mix(odd).columns == odd.columns
+
+
+def test_flight_keeps_totals():
+    rng = random.Random(10)
+    rows = [[rng.randint(1, 500), 0.3] for _ in range(2000)]
+    words, docs = sum(s * p for s, p in rows), sum(p for _, p in rows)
+    mixing._fly(rows, random.Random(1))
+    assert sum(0 < p < 1 for _, p in rows) <= 2
+    assert abs(sum(s * p for s, p in rows) - words) < 1e-3 and abs(sum(p for _, p in rows) - docs) < 1e-6
+
+
+# --- pipeline ---
+
+
+def test_pipeline_stages(spark, empty):
+    import corpus_pipeline as cp
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs, extra = d, None
+    for name, f in cp.STAGES:
+        out = f(spark, docs, "/root/testdata/sf0.001")
+        if name != "packing":
+            assert out.columns == d.columns
+        rows = out.collect()
+        if name == "quality_rules":
+            kept = {r["doc_id"] for r in line_rules.quality_query(d).filter("kept").collect()}
+            assert {r["doc_id"] for r in rows} == kept
+        elif name == "ngram_jaccard_join":
+            texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+            assert {r["doc_id"] for r in rows} == {c for _, c in _brute(texts).values()}
+        elif name == "packing":
+            e = packing.Encoder(packing.tokenizer_path())
+            assert sum(r["length"] for r in rows) == sum(len(e.whole(r["text"])) // 4 + 1 for r in docs.collect())
+        docs = spark.createDataFrame(rows, out.schema)
+    for name, f in cp.STAGES:
+        assert f(spark, empty, "").count() == 0
