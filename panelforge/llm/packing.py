@@ -1,8 +1,10 @@
 """Packing documents into fixed-length sequences by cutting-stock column generation.
 
-Tokenise once. Each document is cut into whole sequences of ``CAPACITY`` ids and one remainder; the
-remainders' lengths, rounded up to ``GRAIN``, form a histogram of at most CAPACITY / GRAIN classes,
-whatever the corpus. On it the cutting-stock linear program (fewest sequences that hold the demand
+Tokenise once. Each document is cut into whole sequences of ``CAPACITY`` ids and a remainder, and a
+remainder of more than half a sequence once more at the half: pieces of at most half a sequence fit
+together almost without padding, where longer ones would leave about a tenth. The remainders'
+lengths, rounded up to ``GRAIN``, form a histogram of at most CAPACITY / GRAIN classes, whatever the
+corpus. On it the cutting-stock linear program (fewest sequences that hold the demand
 of each class) is solved by column generation: the master's duals price new patterns through a
 knapsack dynamic program. Patterns are rounded down, the small rest is packed by first fit
 decreasing. Documents are ranked within their class, and a rank gives the sequence by arithmetic on
@@ -37,7 +39,8 @@ CAPACITY = 1024
 GRAIN = 4
 END_ID = 0
 #: Words in each of the two generations of a worker's cache of ids.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+CACHED_MARKS = 20_000
 CACHED_LENGTH = 24
 #: Rounds of column generation at most; the patterns found until then are used.
 MAX_ROUNDS = 4000
@@ -78,6 +81,7 @@ class Encoder(dict):
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         """The library's own encoding of a whole text."""
@@ -88,26 +92,37 @@ class Encoder(dict):
         ids = [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def mark(self, s: str) -> bytes:
+        """A short piece without a space: mostly punctuation."""
+        found = self.marks.get(s)
+        if found is None:
+            found = self.piece(s)
+            if len(s) <= 4 and len(self.marks) < CACHED_MARKS:
+                self.marks[s] = found
+        return found
+
     def run(self, s: str) -> bytes:
-        out = []
-        for p in self.pieces(s):
-            if p[0] == " " and len(p) > 1:
-                out.append(self[p[1:]] if p != s else self.piece(p))
-            else:
-                out.append(self.piece(p))
-        return b"".join(out)
+        """Any string, by the tokenizer's own pieces; a string that is one piece isn't looked up."""
+        parts = self.pieces(s)
+        if len(parts) == 1:
+            return self.piece(s)
+        return b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 else self.mark(p) for p in parts])
 
     def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
+        found, keep = self.old.get(word), True
         if found is None:
-            s = " " + word
-            found = self.piece(s) if word.isalpha() else self.run(s)
-            if len(word) > CACHED_LENGTH or "\n" in word:
-                return found
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
+            if word.isalpha():
+                found = self.piece(" " + word)
+            else:
+                n = len(self)
+                found = self.run(" " + word)
+                keep = len(self) == n and "\n" not in word  # a word just met isn't kept with its marks, too
+            keep = keep and len(word) <= CACHED_LENGTH
+        if keep:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
     def __call__(self, text: str) -> bytes:
@@ -145,8 +160,10 @@ def _cut(path: str, capacity: int, grain: int):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = enc(text.as_py() or "") + end
                 n = len(ids) // 4
-                for s in range(0, n, capacity):
-                    part = ids[4 * s : 4 * (s + capacity)]
+                whole = n - n % capacity
+                cuts = [*range(0, whole, capacity), *range(whole, n, capacity // 2), n]
+                for s, e in zip(cuts, cuts[1:], strict=False):
+                    part = ids[4 * s : 4 * e]
                     m = len(part) // 4
                     c = -(-m // grain)
                     rows.append((doc, s, m, zlib.crc32(part), n, c, chunk, seen[c]))
