@@ -42,6 +42,40 @@ RULES = (
     ("机械设备", "三一重工 中联重科 徐工机械 潍柴动力 恒立液压"),
 )
 
+# Sub-industries of the level-1 industries, as scraped labels name them.
+SUB_INDUSTRIES = {
+    "食品饮料": "白酒 啤酒 食品加工 调味发酵品 乳品",
+    "银行": "银行",
+    "非银金融": "证券 保险 多元金融",
+    "电子": "半导体 消费电子 元件 光学光电子 显示器件 电子化学品",
+    "计算机": "软件开发 IT服务 计算机设备",
+    "医药生物": "化学制药 中药 生物制品 医疗器械 医疗服务 医药商业",
+    "电力设备": "电池 光伏设备 风电设备 电网设备",
+    "汽车": "乘用车 汽车零部件 商用车",
+    "机械设备": "通用设备 专用设备 自动化设备 工程机械",
+    "基础化工": "基础化工 化学原料 化学制品 农化制品 涤纶 钾肥",
+    "有色金属": "工业金属 贵金属 小金属 金属新材料 黄金 铝 铜",
+    "煤炭": "煤炭开采 焦炭",
+    "石油石化": "炼油化工 油服工程",
+    "通信": "通信设备 通信服务",
+    "传媒": "游戏 数字媒体 广告营销 影视院线",
+    "房地产": "房地产开发 房地产服务",
+    "家用电器": "白色家电 小家电 厨卫电器",
+    "国防军工": "航空装备 航天装备 地面兵装 军工电子",
+    "公用事业": "电力 燃气",
+    "交通运输": "铁路公路 航空机场 航运港口 物流",
+    "钢铁": "普钢 特钢",
+    "建筑材料": "水泥 玻璃玻纤",
+    "建筑装饰": "房屋建设 基础建设",
+    "商贸零售": "一般零售 专业零售 免税",
+}
+
+
+def of_sub_industry(label: Column) -> Column:
+    """The level-1 industry of a sub-industry, else null."""
+    pairs = [F.lit(x) for industry, subs in SUB_INDUSTRIES.items() for sub in subs.split() for x in (sub, industry)]
+    return F.try_element_at(F.create_map(*pairs), label)
+
 
 def _any(name: Column, words: str) -> Column:
     return F.rlike(name, F.lit("|".join(words.split())))
@@ -55,12 +89,10 @@ def by_name(name: Column) -> Column:
     return out
 
 
-def resolve(stocks: DataFrame, landed: DataFrame | None = None, mapping: DataFrame | None = None) -> DataFrame:
-    """stocks: ts_code, name. landed: ts_code, sub_industry (as scraped); mapping: sub_industry,
-    industry. A rule on the name wins; then the mapped label, or the label itself; else the catch-all."""
+def resolve(stocks: DataFrame, landed: DataFrame | None = None) -> DataFrame:
+    """stocks: ts_code, name. landed: ts_code, sub_industry (as scraped). A rule on the name wins;
+    then the sub-industry's industry, or the label itself; else the catch-all."""
     df, label = stocks, F.lit(None).cast("string")
     if landed is not None:
-        df, label = df.join(landed, "ts_code", "left"), F.col("sub_industry")
-        if mapping is not None:
-            df, label = df.join(mapping.withColumnRenamed("industry", "_mapped"), "sub_industry", "left"), F.coalesce("_mapped", "sub_industry")
-    return df.withColumn("industry", F.coalesce(by_name(F.col("name")), label, F.lit(OTHER))).drop("sub_industry", "_mapped")
+        df, label = df.join(landed, "ts_code", "left"), F.coalesce(of_sub_industry(F.col("sub_industry")), "sub_industry")
+    return df.withColumn("industry", F.coalesce(by_name(F.col("name")), label, F.lit(OTHER))).drop("sub_industry")
