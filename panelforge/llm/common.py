@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that separate words everywhere in this subpackage.
@@ -85,6 +85,6 @@ def with_rank(df: DataFrame, order: list[Column], name: str, rank: str = "rank")
     t = materialize(df.orderBy(*order).withColumn("_mid", mid), name)
     t = t.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_idx", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = t.groupBy("_pid").agg(F.count("*").alias("_n"))
-    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b._pid") < F.col("a._pid"), "left")
-    before = before.groupBy(F.col("a._pid").alias("_pid")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    before = F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    before = counts.select("_pid", F.coalesce(before, F.lit(0)).alias("_before"))
     return t.join(F.broadcast(before), "_pid").withColumn(rank, F.col("_idx") + F.col("_before")).drop("_pid", "_idx", "_mid", "_before")

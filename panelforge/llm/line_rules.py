@@ -99,7 +99,10 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX
         "lost_chars": F.col("word_chars") - F.length(F.regexp_replace("clean_text", WS + "+", "")),
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     })
-    df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_percent * F.col("word_chars")))
+    # The row number, never negative, keeps the optimizer from moving a later filter below these
+    # steps, which would write each step's expression out in every use of it.
+    fence = F.monotonically_increasing_id() >= 0
+    df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_percent * F.col("word_chars")) & fence)
     return df.drop("_qw", "_ql", "_qok", "_qh", "_qp", "_qbad", "_qs", "_qpos", "_qrep", "_qbody")
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, n_words, with_rank
+from .common import materialize, n_words, with_rank
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, materialize
+from .common import materialize, with_rank
 
 SCALE = 1024
 K = 10
@@ -112,10 +112,8 @@ def best(q: np.ndarray, qid: np.ndarray, low: np.ndarray, c: np.ndarray, cid: np
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """vectors, queries: vec_id, v, norm as made by ``quantised``."""
     spark = vectors.sparkSession
-    mid = F.monotonically_increasing_id()
-    cands = materialize(vectors.orderBy(F.col("norm").desc(), "vec_id").withColumn("mid", mid), "topk_vectors")
-    at = F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
-    cands = cands.withColumn("block", F.shiftleft(F.shiftright("mid", 33), 33) + F.floor(at / block))
+    longest = [F.col("norm").desc(), F.col("vec_id")]
+    cands = with_rank(vectors, longest, "topk_vectors").withColumn("block", F.floor(F.col("rank") / block)).drop("rank")
     dim = cands.agg(F.max(F.size("v"))).first()[0]
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -137,8 +135,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
             yield f[["vec_id", "v", "norm", "low"]]
 
     q = queries.select("vec_id", "v", "norm").mapInPandas(thresholds, "vec_id long, v array<double>, norm double, low double")
-    q = materialize(q.orderBy(F.col("norm").desc(), "vec_id").withColumn("mid", mid), "topk_queries")
-    q = q.withColumn("qblock", F.shiftleft(F.shiftright("mid", 33), 33) + F.floor(F.col("mid").bitwiseAND(F.lit((1 << 33) - 1)) / query_block))
+    q = with_rank(q, longest, "topk_queries").withColumn("qblock", F.floor(F.col("rank") / query_block)).drop("rank")
     cb = cands.groupBy("block").agg(F.max("norm").alias("most"))
     qb = q.groupBy("qblock").agg(F.max("norm").alias("qmost"), F.min("low").alias("qlow"))
     # block numbers only: one row per block on either side
