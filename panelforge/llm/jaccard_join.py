@@ -11,9 +11,9 @@ one segment per fragment; each fragment is handled alone, and partial overlaps a
    only. Documents with fewer shared n-grams have no link and go; this repeats, for n-grams cease
    to be shared. A passage common to many otherwise different documents ends here.
 4. Candidates share an n-gram of their prefixes (rarest first). All pairs of a bucket are never
-   listed: first only neighbours within each bucket, in two orders, are compared; then components;
-   then the pairs of a bucket that lie in different components. A link missed in the first step is
-   found in the second, so the components are exact.
+   listed: first only neighbours within each bucket, in two orders, are compared; then, for a few
+   rounds, neighbours in a random order that lie in different components; at last every pair of a
+   bucket that still does. A link missed before is found there, so the components are exact.
 5. A candidate's overlap is the sum over fragments of the intersections of its two segments.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own
@@ -42,6 +42,11 @@ FRAGMENT_TOKENS = 2_000_000
 #: n-grams that a map task gathers before it sends them on.
 FLUSH_TOKENS = 3_000_000
 SALTS = 64
+#: A document's n-grams lie in 2**PARTS_BITS segments when candidates are compared.
+PARTS_BITS = 2
+#: Rounds that compare chance neighbours of different components, and pairs a round for a document;
+#: only the work of the last, exact step depends on them.
+ROUNDS, TRIES = 3, 4
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -219,13 +224,33 @@ def _need(n: str, percent: int) -> str:
     return f"(({n} * {percent} + 99) div 100)"
 
 
-def _prune(rows: DataFrame, percent: int, name: str) -> DataFrame:
+def _prune(rows: DataFrame, percent: int) -> DataFrame:
     """rows: d, n, tok. Keep n-grams of two or more documents, then documents with enough of them;
     adds df and m, the document's n-grams left."""
     df = rows.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
     r = rows.join(df, "tok")
     m = r.groupBy("d").agg(F.count("*").alias("m"), F.first("n").alias("n")).filter(f"m >= {_need('n', percent)}").drop("n")
-    return materialize(r.join(m, "d"), name)
+    return r.join(m, "d")
+
+
+def _neighbours(prefix: DataFrame, order: list, percent: int, apart: str | None = None) -> DataFrame:
+    """a, b, na, nb: documents next to each other within a bucket, of fitting sizes; apart: a column
+    in which they must differ. As many as there are rows, at most."""
+    w = Window.partitionBy("tok").orderBy(*order)
+    cols = {"y": F.lead("d").over(w), "ny": F.lead("n").over(w)} | ({"other": F.lead(apart).over(w)} if apart else {})
+    p = prefix.withColumns(cols).filter("y is not null").filter(f"100 * least(n, ny) >= {percent} * greatest(n, ny)")
+    p = p.filter(F.col(apart) != F.col("other")) if apart else p
+    first = F.col("d") < F.col("y")
+    return p.select(F.least("d", "y").alias("a"), F.greatest("d", "y").alias("b"), F.when(first, F.col("n")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("n")).alias("nb")).distinct()
+
+
+def _merge(label: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Components joined by links between their documents: d, c."""
+    la, lb = label.select(F.col("d").alias("a"), F.col("c").alias("ca")), label.select(F.col("d").alias("b"), F.col("c").alias("cb"))
+    e = links.join(la, "a").join(lb, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    new = components(e, name)
+    out = label.join(new, label.c == new.node, "left").select("d", F.coalesce("component", "c").alias("c"))
+    return materialize(out, f"{name}_labels")
 
 
 def _verify(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
@@ -246,26 +271,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     shared = segs.groupBy("doc_id").agg(F.sum(F.size("toks")).alias("m"))
     alive = reps.filter("d is not null").groupBy("d").agg(F.max("n").alias("n")).join(shared, F.col("d") == F.col("doc_id")).filter(f"m >= {_need('n', percent)}").select("d", "n")
     rows = segs.join(alive, F.col("doc_id") == F.col("d")).select("d", "n", F.explode("toks").alias("tok"))
-    r1 = _prune(rows, percent, "jac_prune1")
-    r2 = _prune(r1.select("d", "n", "tok"), percent, "jac_prune2")
-    left = materialize(r2.select("d", "n", "m").distinct(), "jac_left")
-    kept = materialize(segs.join(left.select("d"), F.col("doc_id") == F.col("d"), "left_semi").select(F.col("doc_id").alias("d"), "frag", "toks"), "jac_kept")
-    sig = r2.groupBy("d").agg(F.min("tok").alias("sig"))
-    pos = F.row_number().over(Window.partitionBy("d").orderBy("df", "tok"))
-    prefix = r2.withColumn("pos", pos).filter(f"pos <= m - {_need('n', percent)} + 1").join(sig, "d")
-    prefix = materialize(prefix.select("tok", "d", "n", "m", "pos", "sig"), "jac_prefix")
-
-    near = None
-    for order in (["n", "d"], ["sig", "n", "d"]):
-        w = Window.partitionBy("tok").orderBy(*order)
-        x = prefix.select(F.col("d").alias("x"), F.col("n").alias("nx"), F.lead("d").over(w).alias("y"), F.lead("n").over(w).alias("ny")).filter("y is not null").distinct()
-        near = x if near is None else near.unionByName(x)
-    swap = F.col("x") < F.col("y")
-    near = near.filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
-    links = materialize(_verify(near, kept, percent).select("a", "b"), "jac_links")
-    comp = components(links, "jac_first")
+    r1 = materialize(_prune(rows, percent), "jac_prune1")
+    forget(segs)
+    sets = _prune(r1.select("d", "n", "tok"), percent)
+    sets = sets.groupBy("d", "n", "m", F.shiftrightunsigned("tok", 64 - PARTS_BITS).alias("frag")).agg(F.collect_list(F.struct("df", "tok")).alias("toks"))
+    sets = materialize(sets, "jac_sets")
+    forget(r1)
+    kept = sets.select("d", "frag", F.col("toks.tok").alias("toks"))
+    left = materialize(sets.select("d", "n", "m").distinct(), "jac_left")
+    rows = sets.select("d", "n", "m", F.explode("toks").alias("t")).select("d", "n", "m", "t.df", "t.tok")
+    by_doc = Window.partitionBy("d")
+    rows = rows.withColumns({"pos": F.row_number().over(by_doc.orderBy("df", "tok")), "sig": F.min("tok").over(by_doc)})
+    prefix = materialize(rows.filter(f"pos <= m - {_need('n', percent)} + 1").select("tok", "d", "n", "m", "pos", "sig"), "jac_prefix")
+
+    near = _neighbours(prefix, ["n", "d"], percent).unionByName(_neighbours(prefix, ["sig", "n", "d"], percent)).distinct()
+    comp = components(materialize(_verify(near, kept, percent).select("a", "b"), "jac_links"), "jac_first")
     label = materialize(left.join(comp, left.d == comp.node, "left").select("d", F.coalesce("component", "d").alias("c")), "jac_labels")
-
+    for i in range(ROUNDS):
+        p = prefix.join(label, "d")
+        near = _neighbours(p, [F.xxhash64("d", "tok", F.lit(i))], percent, "c")
+        few = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
+        found = _verify(near.withColumn("rn", few).filter(f"rn <= {TRIES}").drop("rn"), kept, percent).select("a", "b")
+        label = _merge(label, found, f"jac_round{i}")
     p = prefix.drop("sig").join(label, "d")
     open_ = p.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("tok")
     p = materialize(p.join(open_, "tok"), "jac_open")
@@ -273,11 +300,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     need = f"((nx + ny) * {percent} + {99 + percent}) div {100 + percent}"
     cross = x.join(y, "tok").filter("cx < cy").filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and 1 + least(mx - posx, my - posy) >= {need}")
     cross = cross.select(F.col("dx").alias("a"), F.col("dy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
-    more = materialize(_verify(cross, kept, percent).select("a", "b"), "jac_more")
-    joined = components(more.unionByName(label.filter("c <> d").select(F.col("d").alias("a"), F.col("c").alias("b"))), "jac_second")
-    final = reps.join(joined, reps.d == joined.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "d").alias("component_id"))
-    for t in (rows, r1):
-        forget(t)
+    label = _merge(label, _verify(cross, kept, percent).select("a", "b"), "jac_last")
+    final = reps.join(label.withColumnRenamed("d", "node"), F.col("d") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("c", "d").alias("component_id"))
     out = prof.join(final, prof.fp == F.col("_fp"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
