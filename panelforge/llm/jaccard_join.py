@@ -268,9 +268,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     reps = materialize(prof.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("d"), F.max("n").alias("n")), "jac_reps")
     total = prof.agg(F.sum("n")).first()[0] or 0
     segs = segments(docs, total, shingle)
-    shared = segs.groupBy("doc_id").agg(F.sum(F.size("toks")).alias("m"))
-    alive = reps.filter("d is not null").groupBy("d").agg(F.max("n").alias("n")).join(shared, F.col("d") == F.col("doc_id")).filter(f"m >= {_need('n', percent)}").select("d", "n")
-    rows = segs.join(alive, F.col("doc_id") == F.col("d")).select("d", "n", F.explode("toks").alias("tok"))
+    whole = segs.groupBy("doc_id").agg(F.flatten(F.collect_list("toks")).alias("toks"))
+    ids = reps.filter("d is not null").groupBy("d").agg(F.max("n").alias("n"))
+    alive = ids.join(whole, F.col("d") == F.col("doc_id")).filter(f"size(toks) >= {_need('n', percent)}")
+    rows = alive.select("d", "n", F.explode("toks").alias("tok"))
     r1 = materialize(_prune(rows, percent), "jac_prune1")
     forget(segs)
     sets = _prune(r1.select("d", "n", "tok"), percent)
