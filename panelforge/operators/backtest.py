@@ -145,9 +145,11 @@ class Backtest:
     def __init__(self, factor: DataFrame, bars: DataFrame, basic: DataFrame, n_groups: int = 10, interval: int = 5, fee: float = 0.001) -> None:
         cal = calendar.index(bars)
         self.n_groups, self.interval = n_groups, interval
-        self.schedule = calendar.schedule(factor, cal, interval)
-        masks = mask.tradable(self.schedule.select("trade_date", F.col("entry_date").alias("next_date")), basic, bars)
-        self.periods, self.members = renumber(members(factor, self.schedule, masks, n_groups))
+        # Used by several stages each: a row per period, per period and stock, per period and member.
+        self.schedule = calendar.schedule(factor, cal, interval).cache()
+        masks = mask.tradable(self.schedule.select("trade_date", F.col("entry_date").alias("next_date")), basic, bars).cache()
+        periods, mem = renumber(members(factor, self.schedule, masks, n_groups).cache())
+        self.periods, self.members = periods.cache(), mem.cache()
         self.weights = weights(self.members, masks, self.periods).cache()
         self.turnover = turnover(self.weights, self.members)
         self.asset_returns = asset_returns(self.weights, self.periods, bars)
