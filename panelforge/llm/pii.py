@@ -73,7 +73,8 @@ _SSN = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)")
 _PHONE = re.compile(r"(?<!\w)\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{1,5}(?:[ .\-]?\d{2,5}){1,4}(?!\d)|(?<![\w.\-(])(?:\(\d{3}\) ?|\d{3}[\-.])\d{3}[\-.]\d{4}(?![\w]|[\-.]\d)")
 _IP4 = re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\w|\.\d)")
 _IP6 = re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])")
-_DIGIT = re.compile(r"\d{3}|\d[.:]\d")
+_DIGIT = re.compile(r"\d")
+_WORD = re.compile(r"\w+")
 
 
 def luhn(d: str) -> bool:
@@ -113,18 +114,18 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                     a += 1
                 add(a, b, "email", text[a:b].lower())
             i = text.find("@", i + 1)
-    if "=" in text or ":" in text or " is " in text:
-        for m in _ASSIGNED.finditer(text):
-            v = m[1]
-            if any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
-                hexa = _HEX.fullmatch(v)
-                add(m.start(1), m.end(1), "hex" if hexa else "secret", v.lower() if hexa else v)
-    if _DIGIT.search(text):
-        for m in _HEX.finditer(text):
-            if not m[0].isdigit():
-                add(*m.span(), "hex", m[0].lower())
-        for m in _KNOWN.finditer(text):
-            add(*m.span(), "secret", m[0])
+    for m in _ASSIGNED.finditer(text):
+        v = m[1]
+        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v):
+            hexa = _HEX.fullmatch(v)
+            add(m.start(1), m.end(1), "hex" if hexa else "secret", v.lower() if hexa else v)
+    for m in _HEX.finditer(text):
+        if not m[0].isdigit():
+            add(*m.span(), "hex", m[0].lower())
+    for m in _KNOWN.finditer(text):
+        add(*m.span(), "secret", m[0])
+    digit = _DIGIT.search(text)  # the patterns under it all demand a digit
+    if digit:
         for m in _IBAN.finditer(text):
             if _iban_ok(m[0]):
                 add(*m.span(), "iban", m[0].replace(" ", ""))
@@ -136,9 +137,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 add(*m.span(), "card", d)
         for m in _IP4.finditer(text):
             add(*m.span(), "ip4", m[0])
-        if ":" in text:
-            for m in _IP6.finditer(text):
-                add(*m.span(), "ip6", m[0].lower())
+    if ":" in text:
+        for m in _IP6.finditer(text):
+            add(*m.span(), "ip6", m[0].lower())
+    if digit:
         for m in _SSN.finditer(text):
             add(*m.span(), "ssn", m[0].replace("-", ""))
         for m in _PHONE.finditer(text):
@@ -147,7 +149,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 add(*m.span(), "phone", ("+" if m[0][0] == "+" else "") + d)
     for m in _TITLED.finditer(text):
         _name(m.start(2), m[2], _TITLE_OF[m[1]], add)
-    if not GENDER_OF.keys().isdisjoint(text.split()):
+    if not GENDER_OF.keys().isdisjoint(_WORD.findall(text)):
         for m in _FULL.finditer(text):
             if m[1] in GENDER_OF and m[2] not in GENDER_OF:
                 _name(m.start(), m[0], GENDER_OF[m[1]][1], add)
