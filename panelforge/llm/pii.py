@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,11 +57,21 @@ SYLLABLES = {
 }
 SURNAME_END = {"latin": "ner son ard ez ini er man ley".split(), "cyrillic": "ов ев ин ский ко ман".split(), "greek": "ης ος ίδης άκης".split()}
 GENDER_OF = {n: (s, g) for (s, g), x in NAMES.items() for n in x}
+#: More given names that are found without a title; surrogates are drawn from NAMES alone.
+MORE_NAMES = {
+    ("latin", "f"): "Margaret Dorothy Nancy Lisa Betty Helena Sandra Ashley Kimberly Donna Michelle Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Shirley Brenda Pamela Nicole Samantha Katherine Christine Debra Rachel Carolyn Janet Catherine Heather Diane Olivia Julie Joyce Kelly Lauren Christina Joan Evelyn Judith Megan Andrea Cheryl Hannah Jacqueline Martha Teresa Sara Janice Kathryn Abigail Alice Emma Amélie Chloé Léa Manon Isabelle Nathalie Valérie Sylvie Brigitte Hélène Françoise Monique Céline Élodie Aurélie Petra Ursula Monika Birgit Anja Katrin Kerstin Claudia Gisela Renate Greta Lena Ana Isabel Pilar Teresa Cristina Marta Rocío Lucía María Sofía Beatriz Silvia Raquel Giulia Francesca Chiara Priya Fatima Aisha Agnieszka Katarzyna Małgorzata".split(),
+    ("latin", "m"): "Charles Christopher Anthony Donald Steven Joshua Kenneth Kevin Brian Timothy Ronald Edward Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Raymond Jerry Dennis Tyler Aaron Jose Adam Nathan Henry Zachary Douglas Kyle Noah Ethan Jeremy Walter Keith Roger Terry Sean Gerald Carl Harold Arthur Lawrence Albert Bryan Philippe Nicolas François Olivier Laurent Thierry Julien Sébastien Guillaume Étienne Luc Wolfgang Jörg Uwe Dieter Günther Heinz Matthias Andreas Markus Tobias Sebastian Florian Lukas Felix Javier José Juan Luis Manuel Fernando Alejandro Sergio Rafael Ramón Andrés Álvaro Giovanni Marco Luca Mohammed Ahmed Omar Rajesh Piotr Krzysztof Tomasz Wojciech".split(),
+    ("cyrillic", "f"): "Людмила Галина Валентина Надежда Людмила Оксана Марина Виктория Ксения Дарья Полина Алина Анастасия".split(),
+    ("cyrillic", "m"): "Александр Максим Евгений Юрий Виктор Игорь Константин Антон Денис Роман Артём Никита Борис Григорий Пётр".split(),
+    ("greek", "f"): "Αικατερίνη Γεωργία Δήμητρα Ιωάννα Χριστίνα Ειρήνη".split(),
+    ("greek", "m"): "Γεώργιος Νικόλαος Κωνσταντίνος Ιωάννης Χρήστος Παναγιώτης".split(),
+}
+GIVEN = {n: (s, g) for (s, g), x in MORE_NAMES.items() for n in x} | GENDER_OF
 
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁΆ-ΏΑ-Ω][a-zß-öø-ÿа-яёά-ώ'’]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁΆ-ΏΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+)?"
 _TITLE_OF = {t: g for g, x in TITLES.items() for t in x}
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(_TITLE_OF, key=len, reverse=True))})\.?[ \t]+({_CAP}(?:[ \t]+{_CAP})?)(?!\w)")
-_FULL = re.compile(rf"(?<![\w@.])({_CAP})[ \t]+({_CAP})(?![\w@])")
+_FULL = re.compile(rf"(?<![\w@.])({_CAP})(?=[ \t]+({_CAP})(?![\w@]))")  # a word may end one pair and begin the next
 _LOCAL = re.compile(r"[\w.%+\-]+$")
 _DOMAIN = re.compile(r"[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}")
 _ASSIGNED = re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_\- ]?key|access[_\- ]?key|private[_\- ]?key|auth[_\- ]?key|bearer)\b[\"']?\s*(?:[=:]|\bis\b)\s*[\"']?([A-Za-z0-9_\-/+.]{8,}[A-Za-z0-9_/+=])")
@@ -72,7 +83,8 @@ _GROUPED = re.compile(r"(?<![\w.\-])\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}(?![\w]|-\d
 _SSN = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)")
 _PHONE = re.compile(r"(?<!\w)\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{1,5}(?:[ .\-]?\d{2,5}){1,4}(?!\d)|(?<![\w.\-(])(?:\(\d{3}\) ?|\d{3}[\-.])\d{3}[\-.]\d{4}(?![\w]|[\-.]\d)")
 _IP4 = re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\w|\.\d)")
-_IP6 = re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])")
+_GROUPS = r"[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})"
+_IP6 = re.compile(rf"(?<![\w:])(?:{_GROUPS}{{7}}|(?:{_GROUPS}{{0,6}})?::(?:{_GROUPS}{{0,6}})?)(?!\w|:[\w:])")
 _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"\w+")
 
@@ -90,6 +102,15 @@ def _iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ip6(s: str) -> str | None:
+    """All eight groups in full; None for what is no address, and for :: and ::1, which are no one's."""
+    try:
+        a = IPv6Address(s)
+    except ValueError:
+        return None
+    return None if a.is_unspecified or a.is_loopback else a.exploded
+
+
 def script_of(s: str) -> str:
     return "cyrillic" if any("А" <= c <= "ё" for c in s) else "greek" if any("Ά" <= c <= "ώ" for c in s) else "latin"
 
@@ -139,7 +160,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             add(*m.span(), "ip4", m[0])
     if ":" in text:
         for m in _IP6.finditer(text):
-            add(*m.span(), "ip6", m[0].lower())
+            if full := _ip6(m[0]):
+                add(*m.span(), "ip6", full)
     if digit:
         for m in _SSN.finditer(text):
             add(*m.span(), "ssn", m[0].replace("-", ""))
@@ -149,10 +171,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 add(*m.span(), "phone", ("+" if m[0][0] == "+" else "") + d)
     for m in _TITLED.finditer(text):
         _name(m.start(2), m[2], _TITLE_OF[m[1]], add)
-    if not GENDER_OF.keys().isdisjoint(_WORD.findall(text)):
+    if not GIVEN.keys().isdisjoint(_WORD.findall(text)):
         for m in _FULL.finditer(text):
-            if m[1] in GENDER_OF and m[2] not in GENDER_OF:
-                _name(m.start(), m[0], GENDER_OF[m[1]][1], add)
+            if m[1] in GIVEN and m[2] not in GENDER_OF:
+                _name(m.start(), text[m.start() : m.end(2)], GIVEN[m[1]][1], add)
     for kind, canon, word in {(k, c, text[a:b]) for a, b, k, c in found if k[0] in "gs" and "/" in k}:
         for m in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", text):  # the same name elsewhere in the text
             add(*m.span(), kind, canon)
@@ -165,8 +187,8 @@ def _name(at: int, s: str, gender: str, add) -> None:
     parts = [(m.start(), m[0]) for m in re.finditer(r"\S+", s)]
     for i, (a, w) in enumerate(parts):
         script = script_of(w)
-        if i == 0 and (len(parts) > 1 or w in GENDER_OF):
-            add(at + a, at + a + len(w), f"given/{script}/{gender or GENDER_OF.get(w, ('', ''))[1] or 'm'}", w.casefold())
+        if i == 0 and (len(parts) > 1 or w in GIVEN):
+            add(at + a, at + a + len(w), f"given/{script}/{gender or GIVEN.get(w, ('', ''))[1] or 'm'}", w.casefold())
         else:
             add(at + a, at + a + len(w), f"surname/{script}", w.casefold())
 
@@ -220,7 +242,7 @@ def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
         if kind == "phone" and canon[0] == "+":
             keep, body = canon[:2], canon[2:]
         if kind == "ip6":
-            body = "".join(x.zfill(4) for x in canon.split(":"))
+            body = canon.replace(":", "")
         radix, valid = (16 if kind in ("hex", "ip6") else 10), kind == "card" and luhn(canon)
         for _ in range(attempt + 1):
             body = permute(key, kind, body, radix)

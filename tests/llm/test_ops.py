@@ -151,6 +151,16 @@ def test_names_beside_marks(text):
     assert n == 2 and "Mary" not in new and "Smith" not in new
 
 
+def test_short_ip6_and_more_names():
+    new, n = pii.rewrite("at 2001:db8::1, 2001:0DB8:0:0:0:0:0:1 or fe80::: [::ffff:a1] 2001:db8::/32")
+    a, b = re.findall(r"at (\S+), (\S+) or", new)[0]
+    assert n == 5 and a.lower() == b.lower() and "db8" not in new.lower() and "ffff:a1" not in new
+    for text in ("std::vector and x :: y", "12:30:45", "::1", "1:2:3:4:5:6:7:8:9", "1::2::3"):
+        assert pii.rewrite(text) == (text, 0)
+    new, n = pii.rewrite("Dear Kevin Miller and Mary Patricia Smith")
+    assert not {"Kevin", "Miller", "Smith"} & set(new.split()) and new.startswith("Dear ")
+
+
 def test_permutations_are_bijections():
     assert len({pii.permute(b"k", "t", f"{i:03d}", 10) for i in range(1000)}) == 1000
     assert len({pii.permute(b"k", "t", f"{i:02x}", 16) for i in range(256)}) == 256
