@@ -2,10 +2,11 @@
 
 The rules' own verdicts label the URLs they decide. From those, two variable-order Markov models
 are counted, one of accepted and one of rejected URLs: followers of every context of up to
-``ORDER`` characters, over all labelled URLs. A context's follower is kept while its share of the
-model's characters is at least ``MIN_SHARE``, so a model has at most ORDER / MIN_SHARE entries
-whatever the corpus, and may be broadcast. Probabilities are smoothed by Witten-Bell interpolation
-from the longest kept context down to a uniform one. A URL's score is the difference of its two
+``ORDER`` characters, over all labelled URLs. Every count is kept, so the models grow with the
+corpus and stay a table: URLs are dealt into chunks of about ``CHUNK``, the strings that a chunk's
+URLs look up are joined with the table, and each chunk is scored from what it was sent.
+Probabilities are smoothed by Witten-Bell interpolation from the longest context seen down to a
+uniform one. A URL's score is the difference of its two
 log-likelihoods by character; the threshold is calibrated on labelled URLs that the models did not
 see (a fifth, by a hash of the URL), as the best difference of true and false acceptances.
 
@@ -17,7 +18,7 @@ by one.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +36,9 @@ RULES = (
     ("block", "org", "/es/"),
 )
 ORDER = 6
-MIN_SHARE = 5e-5
 ALPHABET = 256
+#: URLs scored at once, so many that they share most of the strings that they look up.
+CHUNK = 4096
 #: Distinct entries that a task counts before it sends them on.
 FLUSH = 300_000
 #: Bins of the calibration histogram over scores from -SPAN to SPAN.
@@ -88,14 +90,35 @@ def _count(order: int):
     return run
 
 
+def _lookups(order: int):
+    """chunk, s: the strings that the URLs' scores depend on, once a chunk and flush."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = defaultdict(set)
+
+        def rows() -> pa.RecordBatch:
+            c = [c for c, x in seen.items() for _ in x]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array([g for x in seen.values() for g in x], pa.string())], names=["chunk", "s"])
+
+        for b in batches:
+            for chunk, url in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if url:
+                    seen[chunk].update(("", "\x02"), grams(url, order))  # contexts are grams, too, but for these two
+            if sum(map(len, seen.values())) > FLUSH:
+                yield rows()
+                seen.clear()
+        if seen:
+            yield rows()
+
+    return run
+
+
 class Model:
-    """P(character | longest kept context), Witten-Bell smoothed."""
+    """P(character | longest context seen), Witten-Bell smoothed. n: counts of n-grams; after and
+    kinds: followers of contexts, all and distinct."""
 
-    def __init__(self, counts: dict[str, int], order: int) -> None:
-        self.order, self.n, self.after, self.kinds = order, counts, Counter(), Counter()
-        for g, n in counts.items():
-            self.after[g[:-1]] += n
-            self.kinds[g[:-1]] += 1
+    def __init__(self, n: dict[str, int], after: dict[str, int], kinds: dict[str, int], order: int) -> None:
+        self.n, self.after, self.kinds, self.order = n, after, kinds, order
 
     def log_likelihood(self, text: str) -> float:
         t, total = "\x02" + text + "\x03", 0.0
@@ -111,34 +134,50 @@ class Model:
         return total
 
 
-def _score(accept: dict, reject: dict, order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, r = Model(accept, order), Model(reject, order)
-        for b in batches:
-            s = [(a.log_likelihood(u) - r.log_likelihood(u)) / (len(u) + 1) if u else 0.0 for u in b.column("address").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
+FACTS = ("n", "after", "kinds")
+BASE = ("page_id", "host", "path", "address", "rule", "by_rule", "held_out")
+
+
+def facts(counts: DataFrame) -> DataFrame:
+    """counts: label, gram, n. One row per string that is an n-gram or a context: for each label its
+    count, the count of its followers and the number of distinct ones."""
+    context = F.expr("substring(gram, 1, length(gram) - 1)")
+    after = counts.groupBy("label", context.alias("s")).agg(F.sum("n").alias("after"), F.count("*").alias("kinds"))
+    each = counts.select("label", F.col("gram").alias("s"), "n", F.lit(None).cast("long").alias("after"), F.lit(None).cast("long").alias("kinds"))
+    each = each.unionByName(after.withColumn("n", F.lit(None).cast("long")))
+    return each.groupBy("s").agg(*[F.sum(F.when(F.col("label") == v, F.col(f))).alias(f"{v}_{f}") for v in ("allow", "block") for f in FACTS])
+
+
+def _score(order: int):
+    def run(urls: pa.Table, known: pa.Table) -> pa.Table:
+        names = known.column("s").to_pylist()
+
+        def column(name: str) -> dict[str, int]:
+            return {s: x for s, x in zip(names, known.column(name).to_pylist(), strict=True) if x}
+
+        a, r = (Model(*[column(f"{v}_{f}") for f in FACTS], order) for v in ("allow", "block"))
+        s = [(a.log_likelihood(u) - r.log_likelihood(u)) / (len(u) + 1) if u else 0.0 for u in urls.column("address").to_pylist()]
+        return urls.select(list(BASE)).append_column("score", pa.array(s, pa.float64()))
 
     return run
 
 
-def filter_urls(pages: DataFrame, rules: tuple = RULES, order: int = ORDER, min_share: float = MIN_SHARE) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple = RULES, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
     """page_id, host, path, rule, verdict, score."""
     small_batches(pages.sparkSession)
     host, path = host_path(F.col("url"))
     address = F.when(F.instr(F.coalesce("url", F.lit("")), "://") > 0, F.substring("url", F.instr("url", "://") + F.lit(3), F.length("url"))).otherwise("")
-    p = judge(pages.select("page_id", host.alias("host"), path.alias("path"), address.alias("address")), rules)
+    p = judge(pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), address.alias("address")), rules)
     p = p.withColumn("held_out", F.col("by_rule").isNotNull() & (F.pmod(F.crc32("address"), F.lit(5)) == 0))
+    p = materialize(p.select(*BASE, F.monotonically_increasing_id().alias("row")), "url_rows")
+    p = p.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(-(-p.count() // chunk) or 1)))
     seen = p.filter(F.col("by_rule").isNotNull() & ~F.col("held_out")).select(F.col("by_rule").alias("label"), "address")
     counts = materialize(seen.mapInArrow(_count(order), "label string, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n")), "url_counts")
-    size = {r[0]: r[1] for r in counts.filter(F.length("gram") == 1).groupBy("label").agg(F.sum("n")).collect()}  # two rows
-    models: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
-    for label, n in size.items():
-        kept = counts.filter((F.col("label") == label) & (F.col("n") >= max(2.0, min_share * n)))
-        models[label] = {r[0]: r[1] for r in kept.select("gram", "n").toLocalIterator()}  # at most (order + 1) / min_share rows
+    need = p.select("chunk", "address").mapInArrow(_lookups(order), "chunk long, s string")
+    known = need.join(facts(counts), "s")
     base = "page_id long, host string, path string, address string, rule string, by_rule string, held_out boolean"
-    p = p.withColumn("page_id", F.col("page_id").cast("long"))
-    scored = materialize(p.mapInArrow(_score(models["allow"], models["block"], order), f"{base}, score double"), "url_scores")
-    least = threshold(scored) if all(models.values()) else -math.inf
+    scored = materialize(p.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score(order), f"{base}, score double"), "url_scores")
+    least = threshold(scored) if counts.select("label").distinct().count() == 2 else -math.inf
     own = F.when(F.col("score") >= F.lit(least), "allow").otherwise("block") if least > -math.inf else F.lit("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), "score")
 

@@ -52,6 +52,43 @@ def test_urls_without_labels(spark):
     assert url_lm.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_scored_by_whole_models(spark):
+    rng = random.Random(11)
+    urls = [f"https://site.example.net/de/{''.join(rng.choices('abcdefgh', k=8))}/rare{i}" for i in range(150)]
+    urls += [f"http://ads.example.com/en/{''.join(rng.choices('abcdefgh', k=8))}?c={i}" for i in range(150)]
+    urls += [f"http://some.info/{''.join(rng.choices('abcdefgh', k=6))}" for _ in range(40)] + urls[:1] * 5 + [None, "x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_lm.filter_urls(pages, chunk=64).collect()}
+    address = [u.split("://", 1)[1] if u and "://" in u else "" for u in urls]
+    verdict = ["allow" if "/de/" in a else "block" if "/en/" in a else None for a in address]
+    counts = {"allow": Counter(), "block": Counter()}
+    for a, v in zip(address, verdict, strict=True):
+        if v and zlib.crc32(a.encode()) % 5:
+            counts[v].update(url_lm.grams(a, url_lm.ORDER))
+
+    def log_likelihood(c, a):
+        t, total = f"\x02{a}\x03", 0.0
+        for i in range(1, len(t)):
+            p = 1 / 256
+            for k in range(min(url_lm.ORDER, i) + 1):
+                followers = [n for x, n in of[id(c)].get(t[i - k : i], {}).items()]
+                if not followers:
+                    break
+                p = (c[t[i - k : i + 1]] + len(followers) * p) / (sum(followers) + len(followers))
+            total += math.log(p)
+        return total
+
+    of = {}
+    for c in counts.values():
+        x = of[id(c)] = {}
+        for g, n in c.items():
+            x.setdefault(g[:-1], {})[g] = n
+    assert len(got) == len(urls)
+    for i, a in enumerate(address):
+        want = (log_likelihood(counts["allow"], a) - log_likelihood(counts["block"], a)) / (len(a) + 1) if a else 0.0
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-9, abs_tol=1e-12)
+
+
 # --- 2, 9 ---
 
 
