@@ -2,7 +2,8 @@
 
 Lexicon and pattern voters look at every text once and leave a bit each. Beside the fixed lexicons
 stands a mined one: stems and words that at most ``MAX_MINED`` labelled documents (remainders 1 to
-3; copies count once, by min-hashes) show far more often in toxic texts than in others. Over all documents the
+3; copies count once: texts whose sets of 5-word shingles have a Jaccard similarity of ``COPY`` or
+more, looked for by min-hashes) show far more often in toxic texts than in others. Over all documents the
 patterns of votes are counted (at most 2**voters rows). On the counts a two-class generative model
 is fitted by expectation maximisation, begun at the rates seen on labelled rows: each voter's rate of firing on toxic and on clean documents,
 that is its accuracy, and the correlations of the voters within the classes, which take weight from
@@ -38,6 +39,8 @@ MAX_MINED = 10_000
 #: chance (a Chernoff bound's negative logarithm); at most MAX_STEMS are kept, the most frequent.
 MIN_RATIO, MIN_EVIDENCE, MAX_STEMS = 4.0, 16.0, 600
 STEM_LENGTHS = (4, 5, 6, 7)
+#: Copies among the labelled texts: words in a shingle, least similarity, min-hashes that look for them.
+SHINGLE, COPY, MIN_HASHES = 5, 0.8, 8
 
 #: Lexicon voters: words of one kind each.
 LEXICONS: dict[str, str] = {
@@ -79,28 +82,55 @@ def matched(words: set[str], extra: frozenset[str], starts: frozenset[str]) -> s
     return {w for w in some if "=" + w in extra or any("1" + w[:k] in extra or (n[w[:k]] > 1 and "2" + w[:k] in extra) for k in STEM_LENGTHS)}
 
 
-def min_hashes(words: set[str]) -> tuple[int | None, int | None]:
-    """Two min-hashes of the long words: near copies mostly share either."""
-    some = [w.encode() for w in words if len(w) > 6] or [w.encode() for w in words]
-    return min(map(zlib.crc32, some), default=None), min((zlib.crc32(w, 77) for w in some), default=None)
+def shingles(words: list[str]) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's 5-word shingles; a shorter text is one shingle."""
+    h = np.array([zlib.crc32(w) << 32 | zlib.crc32(w, 77) for w in map(str.encode, words)], dtype=np.uint64)
+    k = min(SHINGLE, len(h))
+    out = np.full(len(h) - k + 1 if k else 0, k, dtype=np.uint64)
+    for i in range(k):
+        out = _scramble(out ^ h[i : len(h) - k + 1 + i])
+    return np.unique(out)
+
+
+def _scramble(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that mixes their bits (splitmix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        one, two, found = [], [], []
-        for t in b.column(1):
-            words = set(_WORD.findall((t.as_py() or "").lower()))
-            x, y = min_hashes(words)
-            one.append(x)
-            two.append(y)
-            found.append(sorted(stems(words)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["y", "one", "two", "stems"])
+        least, parts, found = [], [], []
+        for t in b.column(2):
+            words = _WORD.findall((t.as_py() or "").lower())
+            x = shingles(words)
+            parts.append(x.view(np.int64))
+            least.append([int(_scramble(x ^ np.uint64(i)).min().view(np.int64)) for i in range(MIN_HASHES)] if len(x) else [])
+            found.append(sorted(stems(set(words))))
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least, longs), pa.array(parts, longs), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "y", "least", "parts", "stems"])
+
+
+def originals(t: DataFrame) -> DataFrame:
+    """t: row, doc_id, y, least, parts. Without the rows that are copies of one before them: each
+    row is compared with the first row of its label that shares a min-hash, for every min-hash."""
+    each = t.select("row", "doc_id", "y", F.posexplode("least").alias("i", "h"))
+    first = each.groupBy("y", "i", "h").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = each.join(first, ["y", "i", "h"]).filter("row <> first.row").select("row", F.col("first.row").alias("of")).distinct()
+    both = pairs.join(t.select("row", "parts"), "row").join(t.select(F.col("row").alias("of"), F.col("parts").alias("others")), "of")
+    shared = F.size(F.array_intersect("parts", "others"))
+    copies = both.filter(shared >= F.lit(COPY) * (F.size("parts") + F.size("others") - shared)).select("row").distinct()
+    return t.join(copies, "row", "left_anti")
 
 
 def mined(docs: DataFrame, known: DataFrame) -> list[str]:
     """docs: doc_id, text; known: at most MAX_MINED rows of doc_id, y."""
-    t = docs.join(F.broadcast(known), "doc_id").select("y", "text")
-    t = materialize(t.mapInArrow(_mine, "y int, one long, two long, stems array<string>").filter("one is not null").dropDuplicates(["y", "one"]).dropDuplicates(["y", "two"]), "tox_mined")
+    t = docs.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
+    t = t.mapInArrow(_mine, "doc_id long, y int, least array<long>, parts array<long>, stems array<string>").filter("size(parts) > 0")
+    t = materialize(t.withColumn("row", F.monotonically_increasing_id()), "tox_labelled")
+    t = materialize(originals(t).select("y", "stems"), "tox_mined")
     sizes = {r[0]: r[1] for r in t.groupBy("y").count().collect()}  # two rows
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:

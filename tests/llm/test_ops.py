@@ -124,6 +124,23 @@ def test_scores_of_odd_input(spark, odd, empty, f):
     assert f(empty, lab).count() == 0
 
 
+def test_only_true_copies_are_left_out_of_mining(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choices("bcdfghjklmnpqrtvwxz", k=9)) for _ in range(3000)]
+    shared = f"{min(vocab, key=lambda w: zlib.crc32(w.encode()))} {min(vocab, key=lambda w: zlib.crc32(w.encode(), 77))}"
+
+    def text(extra):
+        return " ".join([*rng.choices(vocab, k=40), extra, shared])
+
+    base = text("blorpus").split()
+    copies = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in range(3)] + [" ".join(base), " ".join(base).upper()] * 10
+    rows = [(1, text("zanglik")) for _ in range(30)] + [(1, x) for x in copies] + [(0, text("plain")) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, y) for i, (y, _) in enumerate(rows)], "doc_id long, y int")
+    got = toxicity.mined(docs, known)
+    assert "=zanglik" in got and "=blorpus" not in got
+
+
 def test_isotonic_is_the_best_monotone_fit():
     rng = np.random.default_rng(3)
     y, w = rng.random(30), rng.integers(1, 5, 30).astype(float)
