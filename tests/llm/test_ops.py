@@ -124,6 +124,14 @@ def test_scores_of_odd_input(spark, odd, empty, f):
     assert f(empty, lab).count() == 0
 
 
+@pytest.mark.parametrize("n", [30, 900, 20000])
+def test_top_word_is_sought_in_the_whole_text(n):
+    prose = [f"w{i}" for i in range(n)]
+    at = quality_rff.NAMES.index("top_word")
+    for text in (prose + ["spam"] * n, ["spam"] * n + prose, [x for w in prose for x in (w, "spam")]):
+        assert quality_rff.statistics(" ".join(text))[at] == 0.5
+
+
 def test_only_true_copies_are_left_out_of_mining(spark):
     rng = random.Random(12)
     vocab = ["".join(rng.choices("bcdfghjklmnpqrtvwxz", k=9)) for _ in range(3000)]
