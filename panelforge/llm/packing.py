@@ -13,8 +13,9 @@ that is broadcast is bounded by classes x classes.
 
 The ids come from the merges of the ``tokenizers`` library. Byte-level BPE never joins ids over a
 single space between two non-blank characters, so a text's ids are those of its space-led words put
-together; words seen before come from a cache of bounded size. ``tests/llm`` holds this against the
-library's encoding of whole texts.
+together; a text is first cut at the tokenizer's added tokens, as the library does. Words seen
+before come from a cache of bounded size. ``tests/llm`` holds this against the library's encoding
+of whole texts.
 
 Defined results: null and empty texts hold only the closing id 0. Repeated rows are packed one by
 one. Ids within a document are neither dropped nor repeated.
@@ -76,7 +77,11 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that take in or depend on their neighbours can't be cut off")
+        self.added = {t.content: struct.pack("<I", i) for i, t in added.items()}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split if added else None
         self.model = self.tok.model
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
@@ -126,6 +131,12 @@ class Encoder(dict):
         return found
 
     def __call__(self, text: str) -> bytes:
+        if self.cut and any(map(text.__contains__, self.added)):
+            return b"".join([self.added.get(p) or self.plain(p) for p in self.cut(text)])
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """A text without added tokens."""
         if not text:
             return b""
         if _ODD_SPACE.search(text):

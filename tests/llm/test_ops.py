@@ -306,6 +306,18 @@ def test_encoder_is_exact():
         assert e(s) == e.whole(s), repr(s)
 
 
+def test_encoder_keeps_the_library_defaults():
+    from tokenizers import Tokenizer
+
+    e, tok = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    assert np.frombuffer(e("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    rng = random.Random(13)
+    bits = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", " word", "é", "'s", "."]
+    for _ in range(3000):
+        s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(e(s), "<u4").tolist() == tok.encode(s, add_special_tokens=False).ids, repr(s)
+
+
 def test_packing(spark, odd, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     rows = packing.pack(d).collect()
