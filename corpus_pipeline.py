@@ -50,7 +50,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("ngram_jaccard_join", deduplicate), ("pii", private), ("mixing", mix), ("packing", pack)]
 
-#: The mix and the packing's program can't be put in SQL; tests hold the stages against brute force.
+#: The mix and the packing's program can't be put in SQL. Tests hold near duplicates against brute
+#: force, the other stages against less: see the README.
 ORACLE_SQL = None
 
 

@@ -459,6 +459,29 @@ def test_flight_keeps_totals():
 # --- pipeline ---
 
 
+def test_pipeline_decisions_take_effect(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(1, 200))) for _ in range(400)]
+    texts[::10] = [f"{t} key deadbeefdeadbeefdeadbeefdeadbe{i:02x}" for i, t in enumerate(texts[::10])]
+    rows = [(i, t, "en", "abc"[min(int(rng.expovariate(1)), 2)], len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS)
+    private = cp.private(spark, docs, "").collect()
+    want = {i: pii.rewrite(t)[0] for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["text"] for r in private} == want and len(private) == len(rows)
+    assert not any("deadbeef" in r["text"] for r in private) and all(r["n_chars"] == len(r["text"]) for r in private)
+    assert sum(want[i] != t for i, t in enumerate(texts)) == 40
+    mixed = cp.mix(spark, docs, "").collect()
+    size, taken, copies = Counter(), Counter(), Counter(tuple(r) for r in mixed)
+    for r in rows:
+        size[r[3]] += len(r[1].split())
+        taken[r[3]] += copies[r] * len(r[1].split())
+    assert set(copies) <= set(rows) and max(copies.values()) <= 2
+    for s, t in _targets(dict(size)).items():
+        assert abs(taken[s] - t) <= 400
+
+
 def test_pipeline_stages(spark, empty):
     import corpus_pipeline as cp
 
