@@ -45,4 +45,6 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
             break
         was = now
     roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+    out._scratch = e._scratch
+    return out

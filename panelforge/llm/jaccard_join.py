@@ -1,26 +1,33 @@
 """Jaccard self-join of documents on word n-grams by vertical partitioning.
 
-The global order of n-grams (their 64-bit hashes) is cut into fragments. A document's set becomes
-one segment per fragment; each fragment is handled alone, and partial overlaps are summed per pair.
+The global order of n-grams is that of their 64-bit hashes, cut into fragments. Overlaps are counted
+fragment by fragment and summed per document or pair.
 
 1. Documents with the same word sequence form a class; only its smallest id goes on.
-2. One pass sends the n-grams to their fragments, packed as sorted differences. A fragment keeps
-   n-grams of two or more documents. An n-gram frequent within a map task is passed on under a
-   salted key and leaves one mark in its fragment, so no group grows with a hot n-gram.
-3. A link needs an intersection of at least ``percent`` % of either set, made of shared n-grams
-   only. Documents with fewer shared n-grams have no link and go; this repeats, for n-grams cease
-   to be shared. A passage common to many otherwise different documents ends here.
+2. Each class sends the beginning of its set in the global order to the fragments: the part that no
+   partner can miss (n - ceil(percent * n) + 1 n-grams) and ``EXTRA`` % more. Two linked sets share
+   at least 1 + EXTRA % of the smaller one's size there, so a fragment counts per class how many of
+   its n-grams another class holds, and classes whose counts sum to less have no link and go. An
+   n-gram frequent within a map task is passed on under a salted key and leaves one mark in its
+   fragment, so no group grows with a hot n-gram.
+3. The whole sets of the classes that are left are gathered. N-grams of one class go, then classes
+   with fewer shared n-grams than any link needs, twice, for n-grams cease to be shared. A passage
+   common to many otherwise different documents ends here.
 4. Candidates share an n-gram of their prefixes (rarest first). All pairs of a bucket are never
-   listed: first only neighbours within each bucket, in two orders, are compared; then, for a few
-   rounds, neighbours in a random order that lie in different components; at last every pair of a
-   bucket that still does. A link missed before is found there, so the components are exact.
-5. A candidate's overlap is the sum over fragments of the intersections of its two segments.
+   listed: first each member is compared with one pivot, the member with the largest share of n-grams
+   that others hold (copies descend from it); then with random pivots, across components only; at
+   last every pair of a bucket that lies in different components still, where one side is outside
+   of the bucket's largest component. A link missed before is found there: the components are exact.
+5. A candidate's sets are cut into ``PARTS`` segments, one a fragment, joined by fragment; a partial
+   overlap is counted in each, and their sum decides.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are their own
-component. Repeated rows are copies. Rows that share an id but not their text count as one node
-whose links are those of either text. Rows with a null id link with nothing and have a null
-component unless a copy has an id. Equality of n-grams is that of their 64-bit hashes: two sets of
-sizes a and b count a different n-gram as common with a probability below a * b / 2**64.
+component; an empty table gives an empty one. Whole texts count, however long. Repeated rows are
+copies. Rows that share an id but not their text count as one node whose links are those of any of
+them. Rows with a null id link with nothing and have a null component unless a copy has an id. Of
+equal pivots the one of the smaller key is taken, which changes the work only. Only doc_id and text
+are read, so other columns may have any name. Equality of n-grams is that of their 64-bit hashes: two
+sets of sizes a and b count a different n-gram as common with a probability below a * b / 2**64.
 """
 
 from __future__ import annotations
@@ -37,16 +44,18 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 80
-#: n-grams that a fragment's task holds, about.
+#: Percent of a set that is sent to the fragments beyond what a prefix filter needs.
+EXTRA = 10
+#: n-grams that a fragment's task holds, about, and the least number of fragments (as a power of 2).
 FRAGMENT_TOKENS = 2_000_000
+LEAST_BITS = 6
 #: n-grams that a map task gathers before it sends them on.
 FLUSH_TOKENS = 3_000_000
 SALTS = 64
-#: A document's n-grams lie in 2**PARTS_BITS segments when candidates are compared.
+#: A candidate's n-grams lie in this many segments when pairs are compared.
 PARTS_BITS = 2
-#: Rounds that compare chance neighbours of different components, and pairs a round for a document;
-#: only the work of the last, exact step depends on them.
-ROUNDS, TRIES = 3, 4
+#: Rounds with random pivots; only the work of the last, exact step depends on them.
+ROUNDS = 1
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,24 +87,9 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def _profiles(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            fp, n = [], []
-            for t in b.column(1):
-                w = word_list(t.as_py())
-                fp.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
-                n.append(len(shingle_hashes(w, size)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "fp", "n"])
-
-    return run
-
-
 def _planes(x: np.ndarray) -> bytes:
     """Bytes by place: the high ones are mostly zero and the shuffle's compression removes them."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
 
 
 def _unplanes(b: bytes, kind: str) -> np.ndarray:
@@ -113,26 +107,74 @@ def _undeltas(b: bytes, kind: str) -> np.ndarray:
     return np.cumsum(_unplanes(b, kind), dtype=kind)
 
 
-BLOBS = "frag int, salt int, docs binary, toks binary, at binary"
+def need(n: int, percent: int) -> int:
+    """The least intersection of a link of a set of n."""
+    return -(-n * percent // 100)
+
+
+def sent(n: int, percent: int, extra: int = EXTRA) -> int:
+    """How many of a set's first n-grams go to the fragments."""
+    return min(n, n - need(n, percent) + 1 + n * extra // 100)
+
+
+def _sql_need(n: str, percent: int) -> str:
+    return f"(({n} * {percent} + 99) div 100)"
+
+
+PROFILE = "doc_id long, fp binary, node long, n long, k long, first binary"
+
+
+def _profiles(size: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            rows: list[tuple] = []
+            for t in b.column(1):
+                w = word_list(t.as_py())
+                if not w:
+                    rows.append((None, None, 0, 0, None))
+                    continue
+                fp, s = xxhash.xxh3_128_digest(b" ".join(w)), shingle_hashes(w, size)
+                k = sent(len(s), percent)
+                rows.append((fp, int.from_bytes(fp[:8], "little", signed=True), len(s), k, s[:k].tobytes()))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "fp", "node", "n", "k", "first"])
+
+    return run
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def profiles(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id; fp and node, 128 and 64 bits of the word sequence; n, the set's size; the first k of it."""
+    small_batches(docs.sparkSession)
+    return materialize(_texts(docs).mapInArrow(_profiles(shingle, percent), PROFILE), "jac_profiles")
+
+
+BLOBS = "frag int, salt int, nodes binary, toks binary, at binary"
+
 
+def _send(bits: int, most: int):
+    """The n-grams of (node, first) rows, packed by fragment. A node counts once a flush."""
 
-def _send(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         salt = TaskContext.get().partitionId() % SALTS + 1
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
-        held = 0
+        held: dict[int, np.ndarray] = {}
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal ids, sets, held
-            if not held:
-                return
-            order = np.argsort(np.asarray(ids, dtype=np.int64), kind="stable")
-            docs = np.asarray(ids, dtype=np.int64)[order]
-            tok = np.concatenate([sets[i] for i in order])
-            at = np.repeat(np.arange(len(order), dtype=np.uint32), [len(sets[i]) for i in order])
+            nonlocal held, size
+            nodes = np.asarray(sorted(held), dtype=np.int64)
+            sets = [held[i] for i in nodes.tolist()]
+            tok = np.concatenate(sets)
+            at = np.repeat(np.arange(len(nodes), dtype=np.int64), [len(x) for x in sets])
+            held, size = {}, 0
             o = np.argsort(tok, kind="stable")
             tok, at = tok[o], at[o]
             first = np.ones(len(tok), dtype=bool)
@@ -140,171 +182,198 @@ def _send(size: int, bits: int):
             single = first.copy()
             single[:-1] &= first[1:]
             rows: list[tuple] = []
-            # alone in this task: to its fragment; else passed on, with one mark (doc number = len(docs))
-            main_at = np.where(single, at, np.uint32(len(docs)))
-            for salted, mask, where in ((0, first, main_at), (salt, ~single, at)):
+            # alone in this flush: to its fragment; else passed on, with one mark (-1)
+            for salted, mask, where in ((0, first, np.where(single, at, -1)), (salt, ~single, at)):
                 t, a = tok[mask], where[mask]
-                cut = np.searchsorted(t, (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.empty(0, np.uint64))
+                cut = np.searchsorted(t, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
                 cut = [0, *cut.tolist(), len(t)]
                 for f, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
                     if x < y:
-                        rows.append((f, salted, _deltas(docs, "<i8"), _deltas(t[x:y], "<u8"), _planes(a[x:y].astype("<u4"))))
-            ids, sets, held = [], [], 0
+                        # only the nodes that the fragment sees; a mark is one past the last
+                        who, mine = np.unique(a[x:y], return_inverse=True)
+                        marks = int(who[0] < 0)
+                        mine = np.where(mine < marks, len(who) - marks, mine - marks)
+                        rows.append((f, salted, _deltas(nodes[who[marks:]], "<i8"), _deltas(t[x:y], "<u8"), _planes(mine.astype("<u4"))))
             for i in range(0, len(rows), 16):
                 some = list(zip(*rows[i : i + 16], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int32()), pa.array(some[1], pa.int32()), *[pa.array(c, pa.binary()) for c in some[2:]]], names=["frag", "salt", "docs", "toks", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int32()), pa.array(some[1], pa.int32()), *[pa.array(c, pa.binary()) for c in some[2:]]], names=["frag", "salt", "nodes", "toks", "at"])
 
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if d is None:
-                    continue
-                s = shingle_hashes(word_list(t.as_py()), size)
-                if len(s):
-                    ids.append(d)
-                    sets.append(s)
-                    held += len(s)
-                if held >= FLUSH_TOKENS:
+                if d not in held:
+                    held[d] = np.frombuffer(t.as_py(), dtype="<u8")
+                    size += len(held[d])
+                if size >= most:
                     yield from flush()
-        yield from flush()
+        if size:
+            yield from flush()
 
     return run
 
 
-SEGMENTS = "doc_id long, frag int, toks array<long>"
-
-
-def _segments(t: pa.Table) -> pa.Table:
-    """The n-grams of one fragment that two or more documents hold, as a segment per document."""
-    tok, doc, mark = [], [], []
-    frag, salt = t.column("frag")[0].as_py(), t.column("salt")[0].as_py()
-    for d, k, a in zip(t.column("docs"), t.column("toks"), t.column("at"), strict=True):
-        ids = _undeltas(d.as_py(), "<i8")
-        at = _unplanes(a.as_py(), "<u4")
-        m = at == len(ids)
+def _shared(t: pa.Table) -> pa.Table:
+    """One fragment: how many of each node's n-grams another node holds."""
+    tok, node, mark = [], [], []
+    for d, k, a in zip(t.column("nodes"), t.column("toks"), t.column("at"), strict=True):
+        ids, at = _undeltas(d.as_py(), "<i8"), _unplanes(a.as_py(), "<u4")
         tok.append(_undeltas(k.as_py(), "<u8"))
-        mark.append(m)
-        doc.append(np.append(ids, 0)[at])
-    tok, doc, mark = map(np.concatenate, (tok, doc, mark))
-    if not salt:
-        o = np.argsort(tok, kind="stable")
-        tok, doc, mark = tok[o], doc[o], mark[o]
-        same = np.zeros(len(tok), dtype=bool)
-        if len(tok) > 1:
-            eq = tok[1:] == tok[:-1]
-            same[1:] |= eq
-            same[:-1] |= eq
-        keep = same & ~mark
-        tok, doc = tok[keep], doc[keep]
-    o = np.lexsort((tok, doc))
-    tok, doc = tok[o], doc[o]
-    if len(doc):  # rows that share an id
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (tok[1:] != tok[:-1])
-        tok, doc = tok[new], doc[new]
-    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
-    offsets = pa.array(np.r_[starts, len(doc)].astype(np.int32))
-    lists = pa.ListArray.from_arrays(offsets, pa.array(tok.view(np.int64)))
-    return pa.table([pa.array(doc[starts]), pa.array(np.full(len(starts), frag, np.int32)), lists], names=["doc_id", "frag", "toks"])
-
-
-def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    small_batches(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return materialize(d.mapInArrow(_profiles(shingle), "doc_id long, fp binary, n long"), "jac_profiles")
+        mark.append(at == len(ids))
+        node.append(np.append(ids, 0)[at])
+    tok, node, mark = map(np.concatenate, (tok, node, mark))
+    o = np.lexsort((node, mark, tok))
+    tok, node, mark = tok[o], node[o], mark[o]
+    new = np.ones(len(tok), dtype=bool)
+    new[1:] = tok[1:] != tok[:-1]
+    group = np.cumsum(new) - 1
+    one = new | np.r_[True, node[1:] != node[:-1]]  # copies met in other flushes count once
+    one &= ~mark
+    many = (np.bincount(group, one) > 1) | (np.bincount(group, mark) > 0)
+    if t.column("salt")[0].as_py():
+        many[:] = True
+    who, n = np.unique(node[one & many[group]], return_counts=True)
+    return pa.table([pa.array(who, pa.int64()), pa.array(n, pa.int64())], names=["node", "m"])
+
+
+def _alive(prof: DataFrame, reps: DataFrame, percent: int, flush: int = FLUSH_TOKENS) -> DataFrame:
+    """r, fp, d, n of the classes that share enough of their first n-grams."""
+    total = prof.agg(F.sum("k")).first()[0] or 0
+    bits = max(LEAST_BITS, (total // FRAGMENT_TOKENS).bit_length())
+    parts = prof.filter("fp is not null").select("node", "first").mapInArrow(_send(bits, flush), BLOBS)
+    m = parts.groupBy("frag", "salt").applyInArrow(_shared, "node long, m long").groupBy("node").agg(F.sum("m").alias("m"))
+    enough = f"m >= 1 + {_sql_need('n', percent)} * {EXTRA} div 100"
+    return materialize(reps.filter("d is not null").join(m, "node").filter(enough).select("r", "fp", "d", "n"), "jac_alive")
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
+        for b in batches:
+            fp, toks = [], []
+            for t in b.column(1):
+                w = word_list(t.as_py())
+                if w:
+                    fp.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                    toks.append(shingle_hashes(w, size).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.binary()), pa.array(toks, pa.list_(pa.int64()))], names=["fp", "toks"])
 
-def segments(docs: DataFrame, total: int, shingle: int = SHINGLE) -> DataFrame:
-    bits = max(4, (total // FRAGMENT_TOKENS).bit_length())
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sent = d.mapInArrow(_send(shingle, bits), BLOBS)
-    return materialize(sent.groupBy("frag", "salt").applyInArrow(_segments, SEGMENTS), "jac_segments")
+    return run
 
 
-def _need(n: str, percent: int) -> str:
-    return f"(({n} * {percent} + 99) div 100)"
+def _rows(docs: DataFrame, alive: DataFrame, shingle: int) -> DataFrame:
+    """r, n, tok: the whole sets of the classes left. A class's texts are those of its smallest id."""
+    texts = _texts(docs).join(alive.select(F.col("d").alias("doc_id")), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(shingle), "fp binary, toks array<long>").groupBy("fp").agg(F.first("toks").alias("toks"))
+    return alive.join(sets, "fp").select("r", "n", F.explode("toks").alias("tok"))
 
 
 def _prune(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: d, n, tok. Keep n-grams of two or more documents, then documents with enough of them;
-    adds df and m, the document's n-grams left."""
+    """rows: r, n, tok. Keep n-grams of two or more classes, then classes with enough of them; adds
+    df and m, the class's n-grams left."""
     df = rows.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
-    r = rows.join(df, "tok")
-    m = r.groupBy("d").agg(F.count("*").alias("m"), F.first("n").alias("n")).filter(f"m >= {_need('n', percent)}").drop("n")
-    return r.join(m, "d")
-
-
-def _neighbours(prefix: DataFrame, order: list, percent: int, apart: str | None = None) -> DataFrame:
-    """a, b, na, nb: documents next to each other within a bucket, of fitting sizes; apart: a column
-    in which they must differ. As many as there are rows, at most."""
-    w = Window.partitionBy("tok").orderBy(*order)
-    cols = {"y": F.lead("d").over(w), "ny": F.lead("n").over(w)} | ({"other": F.lead(apart).over(w)} if apart else {})
-    p = prefix.withColumns(cols).filter("y is not null").filter(f"100 * least(n, ny) >= {percent} * greatest(n, ny)")
-    p = p.filter(F.col(apart) != F.col("other")) if apart else p
-    first = F.col("d") < F.col("y")
-    return p.select(F.least("d", "y").alias("a"), F.greatest("d", "y").alias("b"), F.when(first, F.col("n")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("n")).alias("nb")).distinct()
+    x = rows.join(df, "tok")
+    m = x.groupBy("r").agg(F.count("*").alias("m"), F.first("n").alias("n")).filter(f"m >= {_sql_need('n', percent)}").drop("n")
+    return x.join(m, "r")
+
+
+def _pair(df: DataFrame) -> DataFrame:
+    """df: r, n and s, ns. a < b, na, nb: distinct pairs."""
+    first = F.col("r") < F.col("s")
+    cols = [F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")]
+    cols += [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("n", "ns", "na"), ("ns", "n", "nb"))]
+    return df.select(*cols).distinct()
+
+
+def _with_pivot(prefix: DataFrame, order: F.Column, percent: int, apart: bool = False) -> DataFrame:
+    """Each member of a bucket with the bucket's pivot, the one that is largest by order, where sizes
+    fit. apart: only across components (c)."""
+    best = prefix.groupBy("tok").agg(F.max(F.struct(order.alias("o"), (-F.col("r")).alias("k"), "r", "n", *(["c"] if apart else []))).alias("p"), F.count("*").alias("size")).filter("size > 1")
+    p = prefix.join(best, "tok").filter(f"r <> p.r and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+    if apart:
+        p = p.filter("c <> p.c")
+    return _pair(p.select("r", "n", F.col("p.r").alias("s"), F.col("p.n").alias("ns")))
+
+
+def _across(prefix: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a bucket in different components (c) that its sizes and places in the prefixes
+    don't rule out. The members of the bucket's largest component are met by the others only."""
+    by = prefix.groupBy("tok", "c").agg(F.count("*").alias("size"))
+    hub = by.groupBy("tok").agg(F.max(F.struct("size", "c")).alias("h"), F.count("*").alias("kinds")).filter("kinds > 1").select("tok", F.col("h.c").alias("hub"))
+    p = materialize(prefix.join(hub, "tok"), "jac_open")
+    x, y = (p.select("tok", "hub", *[F.col(c).alias(c + s) for c in ("r", "n", "m", "pos", "c")]) for s in "xy")
+    least = f"((nx + ny) * {percent} + {99 + percent}) div {100 + percent}"
+    j = x.filter("cx <> hub").drop("hub").join(y, "tok").filter("cx <> cy and (cy = hub or rx < ry)")
+    j = j.filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and 1 + least(mx - posx, my - posy) >= {least}")
+    return _pair(j.select(F.col("rx").alias("r"), F.col("nx").alias("n"), F.col("ry").alias("s"), F.col("ny").alias("ns")))
+
+
+def _linked(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
+    """pairs: a, b, na, nb. Those whose partial overlaps, counted fragment by fragment, sum to a link."""
+    sa = segs.select(F.col("r").alias("a"), "frag", F.col("toks").alias("ta"))
+    sb = segs.select(F.col("r").alias("b"), "frag", F.col("toks").alias("tb"))
+    part = pairs.join(sa, "a").join(sb, ["b", "frag"]).withColumn("part", F.size(F.array_intersect("ta", "tb")))
+    both = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    return both.filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
 def _merge(label: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """Components joined by links between their documents: d, c."""
-    la, lb = label.select(F.col("d").alias("a"), F.col("c").alias("ca")), label.select(F.col("d").alias("b"), F.col("c").alias("cb"))
+    """Components joined by links between their members: r, c."""
+    la, lb = label.select(F.col("r").alias("a"), F.col("c").alias("ca")), label.select(F.col("r").alias("b"), F.col("c").alias("cb"))
     e = links.join(la, "a").join(lb, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     new = components(e, name)
-    out = label.join(new, label.c == new.node, "left").select("d", F.coalesce("component", "c").alias("c"))
-    return materialize(out, f"{name}_labels")
-
-
-def _verify(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
-    """pairs: a, b, na, nb. Those whose partial overlaps, summed over the fragments, link them."""
-    sa = segs.select(F.col("d").alias("a"), "frag", F.col("toks").alias("ta"))
-    sb = segs.select(F.col("d").alias("b"), "frag", F.col("toks").alias("tb"))
-    part = pairs.join(sa, "a").join(sb, ["b", "frag"]).withColumn("part", F.size(F.array_intersect("ta", "tb")))
-    both = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-    return both.filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b", "both")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
-    prof = profiles(docs, shingle)
-    reps = materialize(prof.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("d"), F.max("n").alias("n")), "jac_reps")
-    total = prof.agg(F.sum("n")).first()[0] or 0
-    segs = segments(docs, total, shingle)
-    whole = segs.groupBy("doc_id").agg(F.flatten(F.collect_list("toks")).alias("toks"))
-    ids = reps.filter("d is not null").groupBy("d").agg(F.max("n").alias("n"))
-    alive = ids.join(whole, F.col("d") == F.col("doc_id")).filter(f"size(toks) >= {_need('n', percent)}")
-    rows = alive.select("d", "n", F.explode("toks").alias("tok"))
-    r1 = materialize(_prune(rows, percent), "jac_prune1")
-    forget(segs)
-    sets = _prune(r1.select("d", "n", "tok"), percent)
-    sets = sets.groupBy("d", "n", "m", F.shiftrightunsigned("tok", 64 - PARTS_BITS).alias("frag")).agg(F.collect_list(F.struct("df", "tok")).alias("toks"))
+    out = label.join(new, label.c == new.node, "left").select("r", F.coalesce("component", "c").alias("c"))
+    done = materialize(out, f"{name}_labels")
+    forget(new)
+    forget(label)
+    return done
+
+
+def _one_node(out: DataFrame) -> DataFrame:
+    """Components joined where rows share an id but not their component."""
+    shared = out.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo < hi").select("doc_id")
+    if not shared.head(1):
+        return out
+    links = out.join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    new = components(links, "jac_ids")
+    return out.join(new, out.component_id == new.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, flush: int = FLUSH_TOKENS) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links. flush: n-grams that a
+    map task gathers at a time."""
+    prof = profiles(docs, shingle, percent)
+    reps = prof.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("d"), F.max("n").alias("n"), F.first("node").alias("node"))
+    reps = materialize(reps.withColumn("r", F.monotonically_increasing_id()), "jac_reps")
+    alive = _alive(prof, reps, percent, flush)
+    r1 = materialize(_prune(_rows(docs, alive, shingle), percent), "jac_prune")
+    sets = _prune(r1.select("r", "n", "tok"), percent)
+    sets = sets.groupBy("r", "n", "m", F.shiftrightunsigned("tok", 64 - PARTS_BITS).alias("frag")).agg(F.collect_list(F.struct("df", "tok")).alias("toks"))
     sets = materialize(sets, "jac_sets")
     forget(r1)
-    kept = sets.select("d", "frag", F.col("toks.tok").alias("toks"))
-    left = materialize(sets.select("d", "n", "m").distinct(), "jac_left")
-    rows = sets.select("d", "n", "m", F.explode("toks").alias("t")).select("d", "n", "m", "t.df", "t.tok")
-    by_doc = Window.partitionBy("d")
-    rows = rows.withColumns({"pos": F.row_number().over(by_doc.orderBy("df", "tok")), "sig": F.min("tok").over(by_doc)})
-    prefix = materialize(rows.filter(f"pos <= m - {_need('n', percent)} + 1").select("tok", "d", "n", "m", "pos", "sig"), "jac_prefix")
-
-    near = _neighbours(prefix, ["n", "d"], percent).unionByName(_neighbours(prefix, ["sig", "n", "d"], percent)).distinct()
-    comp = components(materialize(_verify(near, kept, percent).select("a", "b"), "jac_links"), "jac_first")
-    label = materialize(left.join(comp, left.d == comp.node, "left").select("d", F.coalesce("component", "d").alias("c")), "jac_labels")
+    forget(alive)
+    segs = sets.select("r", "frag", F.col("toks.tok").alias("toks"))
+    rows = sets.select("r", "n", "m", F.explode("toks").alias("t")).select("r", "n", "m", "t.df", "t.tok")
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("r").orderBy("df", "tok")))  # a document's own n-grams
+    prefix = materialize(rows.filter(f"pos <= m - {_sql_need('n', percent)} + 1").select("tok", "r", "n", "m", "pos"), "jac_prefix")
+
+    label = materialize(sets.select("r", F.col("r").alias("c")).distinct(), "jac_labels")
+    near = _with_pivot(prefix, F.col("m") / F.col("n"), percent)
+    label = _merge(label, _linked(near, segs, percent), "jac_pivot")
     for i in range(ROUNDS):
-        p = prefix.join(label, "d")
-        near = _neighbours(p, [F.xxhash64("d", "tok", F.lit(i))], percent, "c")
-        few = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
-        found = _verify(near.withColumn("rn", few).filter(f"rn <= {TRIES}").drop("rn"), kept, percent).select("a", "b")
-        label = _merge(label, found, f"jac_round{i}")
-    p = prefix.drop("sig").join(label, "d")
-    open_ = p.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("tok")
-    p = materialize(p.join(open_, "tok"), "jac_open")
-    x, y = (p.select("tok", *[F.col(c).alias(c + s) for c in ("d", "n", "m", "pos", "c")]) for s in "xy")
-    need = f"((nx + ny) * {percent} + {99 + percent}) div {100 + percent}"
-    cross = x.join(y, "tok").filter("cx < cy").filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny) and 1 + least(mx - posx, my - posy) >= {need}")
-    cross = cross.select(F.col("dx").alias("a"), F.col("dy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
-    label = _merge(label, _verify(cross, kept, percent).select("a", "b"), "jac_last")
-    final = reps.join(label.withColumnRenamed("d", "node"), F.col("d") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("c", "d").alias("component_id"))
-    out = prof.join(final, prof.fp == F.col("_fp"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        near = _with_pivot(prefix.join(label, "r"), F.xxhash64("r", "tok", F.lit(i)), percent, apart=True)
+        label = _merge(label, _linked(near, segs, percent), f"jac_round{i}")
+    label = _merge(label, _linked(_across(prefix.join(label, "r"), percent), segs, percent), "jac_last")
+    for spent in (sets, prefix):
+        forget(spent)
+
+    low = label.join(reps.select("r", "d"), "r").groupBy("c").agg(F.min("d").alias("low"))
+    named = reps.join(label, "r", "left").join(low, "c", "left").select(F.col("fp").alias("_fp"), F.coalesce("low", "d").alias("component_id"))
+    out = prof.drop("first").join(named, F.col("fp") == F.col("_fp"), "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = materialize(out, "jac_out")
+    for spent in (prof, reps, label):
+        forget(spent)
+    return _one_node(out)
 
 
 ORACLE = f"""

@@ -399,11 +399,49 @@ def test_jaccard_components(spark, empty):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()}
     assert got == _brute(texts)
     assert jaccard_join.near_duplicates(empty).count() == 0
+    few = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df.repartition(3), flush=400).collect()}
+    assert few == got  # however the n-grams are gathered
 
 
 def test_jaccard_odd(spark, odd):
-    got = jaccard_join.near_duplicates(odd).collect()
-    assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] == 4} == {4}
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(odd).collect()}
+    assert got == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (None, 1, None), (5, 1, 5), (6, 1, 6)}
+
+
+def test_jaccard_groups_around_the_threshold(spark):
+    """Copies of one text with so many edits that some link with the original only, some with none."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(160)]
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for j in rng.sample(range(0, 160, 5), rng.randint(0, 6) if i else 0):
+            w[j] = f"x{i}_{j}"
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == _brute(texts) and 1 < len({c for _, c in got.values()}) < 150
+
+
+def test_jaccard_shared_ids_are_one_node(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    rows = [(7, a), (7, b), (3, a + " end"), (5, b + " end"), (9, b), (None, b), (None, "alone here")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 3), (3, 3), (5, 3), (9, 3), (None, 3), (None, None)}
+
+
+def test_sets_share_enough_of_what_is_sent():
+    """The bound by which documents go: linked sets share 1 + EXTRA % of the least size in what is sent."""
+    rng = random.Random(22)
+    for _ in range(3000):
+        n = rng.randint(1, 120)
+        x = rng.sample(range(10**6), n)
+        y = rng.sample(x, rng.randint(jaccard_join.need(n, 80), n)) + [rng.randrange(10**6) for _ in range(rng.randint(0, n // 4))]
+        x, y = sorted(x), sorted(set(y))
+        if 100 * len({*x} & {*y}) < 80 * len({*x, *y}):
+            continue
+        shared = {*x[: jaccard_join.sent(len(x), 80)]} & {*y[: jaccard_join.sent(len(y), 80)]}
+        assert all(len(shared) >= 1 + jaccard_join.need(len(z), 80) * jaccard_join.EXTRA // 100 for z in (x, y))
 
 
 # --- 10 ---
