@@ -52,7 +52,7 @@ def _mom(s, d) -> DataFrame:
 
 
 def _backtest(s, d) -> backtest.Backtest:
-    return backtest.Backtest(_mom(s, d).cache(), fixtures.bar_m(s, d).cache(), fixtures.basic(s, d), GROUPS, INTERVAL, FEE)
+    return backtest.Backtest(_mom(s, d), fixtures.bar_m(s, d), fixtures.basic(s, d), GROUPS, INTERVAL, FEE)
 
 
 # --- scans, counts, watermarks -------------------------------------------------------------------
@@ -192,7 +192,7 @@ def vol_20(s, d):
     return _q(features.price_features(_bars(s, d)).filter("vol_20 is not null").select("ts_code", "trade_date", "vol_20"), "vol_20")
 
 
-@query("select ts_code, trade_date, floor(raw_val * 1e12 + 0.5) / 1e12 as ep_ttm from raw where factor_name = 'EP_TTM'")
+@query("select ts_code, trade_date, round_even(raw_val * 1e12, 0) / 1e12 as ep_ttm from raw where factor_name = 'EP_TTM'")
 def ep_ttm(s, d):
     f = features.raw_factors(_bars(s, d), fixtures.basic(s, d), fixtures.pit_q(s, d)).filter("factor_name = 'EP_TTM'")
     return f.select("ts_code", "trade_date", q(F.col("raw_val"), 12).alias("ep_ttm"))
@@ -335,12 +335,12 @@ def bt_metrics(s, d):
     return _backtest(s, d).metrics
 
 
-@query("select floor(corr(ra, rb) * 1e3 + 0.5) / 1e3 as monotonicity from (select rank() over (order by grp) as ra, rank() over (order by f) + (count(*) over (partition by f) - 1) / 2 as rb from (select grp, floor(arg_max(nav, p) * 1e4 + 0.5) / 1e4 as f from nav group by grp))")
+@query("select round_even(corr(ra, rb) * 1e3, 0) / 1e3 as monotonicity from (select rank() over (order by grp) as ra, rank() over (order by f) + (count(*) over (partition by f) - 1) / 2 as rb from (select grp, round_even(arg_max(nav, p) * 1e4, 0) / 1e4 as f from nav group by grp))")
 def bt_monotonicity(s, d):
     return _backtest(s, d).monotonicity
 
 
-@query("select left(exit_date, 4) as year, substr(exit_date, 5, 2) as month, floor((product(1 + ret) - 1) * 1e4 + 0.5) / 1e2 as ret from ls where ret is not null group by 1, 2")
+@query("select left(exit_date, 4) as year, substr(exit_date, 5, 2) as month, round_even((product(1 + ret) - 1) * 1e4, 0) / 1e2 as ret from ls where ret is not null group by 1, 2")
 def bt_heatmap(s, d):
     return _backtest(s, d).heatmap
 
@@ -428,7 +428,7 @@ _SAMPLES = ("招商银行", "中信证券", "贵州茅台", "宁德时代", "比
 
 
 def _rules_sql() -> str:
-    pat = lambda w: "|".join(w.split())
+    pat = "|".join
     cases = [f"when regexp_matches(name, '{pat(industries.BANK_HINTS)}') and regexp_matches(name, '{pat(industries.BANK_WORDS)}') then '银行'"]
     cases += [f"when regexp_matches(name, '{pat(w)}') then '{i}'" for i, w in industries.RULES]
     names = ", ".join(f"'{n}'" for n in _SAMPLES)

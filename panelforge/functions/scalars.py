@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def quantise(x: Column, places: int = 6) -> Column:
-    """floor(x * 10**places + 0.5) / 10**places: the same in any engine, unlike ``round``."""
+    """x to so many places, ties to the even digit, as a double however large."""
     s = float(10**places)
-    return F.floor(x * s + 0.5) / s
+    return F.rint(x * s) / s
 
 
 def divide(a: Column, b: Column, eps: float = 0.0, default: float | None = None) -> Column:

@@ -2,15 +2,19 @@
 
 Everything is set-based but the weights: a position that can't be sold keeps its weight, and what
 is left for new positions depends on it, a recursion over periods. Groups are independent, so each
-folds its periods, a bounded list of small arrays, in one JVM expression.
+folds its periods in one JVM expression: its arrays hold the codes of one group in every period, so
+a group's history is bounded by listed stocks / groups x rebalance periods.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quantise
+from ..sources.scratch import written
 from . import calendar, mask
 from .xsection import spearman
 
@@ -140,23 +144,72 @@ def heatmap(ls: DataFrame) -> DataFrame:
 
 
 class Backtest:
-    """The stages of one run; each is a DataFrame, computed when used."""
+    """The stages of one run. Each is computed when it is first used; those that several others read
+    (a row per period, per period and member, per period and holding) are written once to the shared
+    folder, so the plans of the others stay as small as they look.
+
+    factor: trade_date, ts_code, factor_val, as ``features.scan`` gives it."""
 
     def __init__(self, factor: DataFrame, bars: DataFrame, basic: DataFrame, n_groups: int = 10, interval: int = 5, fee: float = 0.001) -> None:
-        cal = calendar.index(bars)
-        self.n_groups, self.interval = n_groups, interval
-        # Used by several stages each: a row per period, per period and stock, per period and member.
-        self.schedule = calendar.schedule(factor, cal, interval).cache()
-        masks = mask.tradable(self.schedule.select("trade_date", F.col("entry_date").alias("next_date")), basic, bars).cache()
-        periods, mem = renumber(members(factor, self.schedule, masks, n_groups).cache())
-        self.periods, self.members = periods.cache(), mem.cache()
-        self.weights = weights(self.members, masks, self.periods).cache()
-        self.turnover = turnover(self.weights, self.members)
-        self.asset_returns = asset_returns(self.weights, self.periods, bars)
-        self.returns = period_returns(self.asset_returns, self.turnover, self.periods, fee)
-        self.nav = nav(self.returns)
-        self.benchmark = benchmark(self.asset_returns, self.periods)
-        self.long_short = long_short(self.nav, n_groups)
+        self.bars, self.basic = bars, basic
+        self.n_groups, self.interval, self.fee = n_groups, interval, fee
+        self._factor = factor
+
+    @cached_property
+    def factor(self) -> DataFrame:
+        return written(self._factor.select("trade_date", "ts_code", "factor_val"), "bt_factor")
+
+    @cached_property
+    def schedule(self) -> DataFrame:
+        return written(calendar.schedule(self.factor, calendar.index(self.bars), self.interval), "bt_schedule")
+
+    @cached_property
+    def masks(self) -> DataFrame:
+        dates = self.schedule.select("trade_date", F.col("entry_date").alias("next_date"))
+        return written(mask.tradable(dates, self.basic, self.bars).select("trade_date", "ts_code", "is_tradable", "can_buy", "can_sell"), "bt_masks")
+
+    @cached_property
+    def _numbered(self) -> tuple[DataFrame, DataFrame]:
+        mem = written(members(self.factor, self.schedule, self.masks, self.n_groups), "bt_members")
+        periods, mem = renumber(mem)
+        return written(periods, "bt_periods"), mem
+
+    @property
+    def periods(self) -> DataFrame:
+        return self._numbered[0]
+
+    @cached_property
+    def members(self) -> DataFrame:
+        self.periods  # noqa: B018  the numbers come from the table just written
+        return written(self._numbered[1], "bt_numbered")
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return written(weights(self.members, self.masks, self.periods), "bt_weights")
+
+    @cached_property
+    def turnover(self) -> DataFrame:
+        return written(turnover(self.weights, self.members), "bt_turnover")
+
+    @cached_property
+    def asset_returns(self) -> DataFrame:
+        return written(asset_returns(self.weights, self.periods, self.bars), "bt_asset_returns")
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        return written(period_returns(self.asset_returns, self.turnover, self.periods, self.fee), "bt_returns")
+
+    @cached_property
+    def nav(self) -> DataFrame:
+        return nav(self.returns)
+
+    @property
+    def benchmark(self) -> DataFrame:
+        return benchmark(self.asset_returns, self.periods)
+
+    @cached_property
+    def long_short(self) -> DataFrame:
+        return long_short(self.nav, self.n_groups)
 
     @property
     def metrics(self) -> DataFrame:

@@ -14,12 +14,14 @@ LOOKBACK = 30
 NAMES = ("MOM_20D", "REV_5D", "VOL_20D", "EP_TTM", "ROE_TTM")
 
 
-def _std_of_last(arr: str, most: int = 20) -> F.Column:
-    """Population deviation of the last returns in an array of prices (at most LOOKBACK long)."""
-    r = f"transform(sequence(2, size({arr})), i -> {arr}[i - 1] / {arr}[i - 2] - 1)"
-    last = f"slice({r}, greatest(1, size({arr}) - {most}), {most})"
-    mean = f"aggregate({last}, 0D, (a, x) -> a + x) / size({last})"
-    return F.expr(f"sqrt(aggregate(transform({last}, x -> (x - {mean}) * (x - {mean})), 0D, (a, x) -> a + x) / size({last}))")
+def _std_of_last(w: Window, most: int = 20, least: int = 15) -> F.Column:
+    """Population deviation of the last returns within the lookback, whose first bar has none: most
+    of them where n_bars exceeds it, else n_bars - 1."""
+    by_rows = [F.stddev_pop("daily_ret").over(w.rowsBetween(1 - n, 0)) for n in range(least, most + 1)]
+    out = by_rows[-1]
+    for n, x in zip(range(least, most), by_rows, strict=False):
+        out = F.when(F.col("n_bars") == n + 1, x).otherwise(out)
+    return F.when(F.col("n_bars") > least, out)
 
 
 def price_features(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
@@ -32,25 +34,31 @@ def price_features(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     b = b.withColumns({
         "n_bars": F.count("*").over(near),
         "daily_ret": F.try_divide(F.col("adj_close"), F.lag("adj_close").over(w)) - 1,
-        "_m": F.lag("adj_close", 19).over(w), "_r": F.lag("adj_close", 4).over(w), "_a": F.collect_list("adj_close").over(near),
-    })
+        "_m": F.lag("adj_close", 19).over(w), "_r": F.lag("adj_close", 4).over(w),
+    }).withColumn("_v", _std_of_last(w))
     return b.select(
         "ts_code", "trade_date", "close", market_value(F.col("close"), F.col("ts_code")).alias("total_mv"), "n_bars", "daily_ret",
         F.when(F.col("n_bars") >= 20, F.try_divide(F.col("adj_close"), F.col("_m")) - 1).alias("mom_20"),
         F.when(F.col("n_bars") >= 5, F.try_divide(F.col("adj_close"), F.col("_r")) - 1).alias("rev_5"),
-        F.when(F.col("n_bars") >= 16, _std_of_last("_a")).alias("vol_20"),
+        F.col("_v").alias("vol_20"),
     )
 
 
-def raw_factors(bars: DataFrame, basic: DataFrame, disclosures: DataFrame, min_rows: int = 10) -> DataFrame:
+#: Factors by name: the column that holds each.
+COLUMNS = {"MOM_20D": "mom_20", "REV_5D": "rev_5", "VOL_20D": "vol_20", "EP_TTM": "ep_ttm", "ROE_TTM": "roe_ttm"}
+
+
+def raw_factors(bars: DataFrame, basic: DataFrame, disclosures: DataFrame, min_rows: int = 10, names: tuple = NAMES) -> DataFrame:
     """Long form: trade_date, ts_code, factor_name, raw_val, industry, total_mv. Stocks with fewer
-    than five bars in the lookback, and factors with fewer than min_rows rows on a date, are left out."""
+    than five bars in the lookback, and factors with fewer than min_rows rows on a date, are left out.
+    Only the named factors are computed; disclosures are read only for those that need them."""
     f = price_features(bars).filter("n_bars >= 5")
-    f = pit.as_of(f, disclosures, ["ttm_net_profit", "roe_ttm"])
+    if {"EP_TTM", "ROE_TTM"} & set(names):
+        f = pit.as_of(f, disclosures, ["ttm_net_profit", "roe_ttm"]).withColumn("ep_ttm", F.try_divide(F.col("ttm_net_profit"), F.col("total_mv")))
     known = basic.select("ts_code", "industry", F.lit(True).alias("_known"))
     f = f.join(known, "ts_code", "left").withColumn("industry", F.when(F.col("_known"), F.col("industry")).otherwise(OTHER))
-    f = f.withColumn("ep_ttm", F.try_divide(F.col("ttm_net_profit"), F.col("total_mv")))
-    long = f.select("trade_date", "ts_code", "industry", "total_mv", F.expr("stack(5, 'MOM_20D', mom_20, 'REV_5D', rev_5, 'VOL_20D', vol_20, 'EP_TTM', ep_ttm, 'ROE_TTM', roe_ttm) as (factor_name, raw_val)"))
+    stack = ", ".join(f"'{n}', {COLUMNS[n]}" for n in names)
+    long = f.select("trade_date", "ts_code", "industry", "total_mv", F.expr(f"stack({len(names)}, {stack}) as (factor_name, raw_val)"))
     long = long.filter("raw_val is not null")
     n = F.count("*").over(Window.partitionBy("trade_date", "factor_name"))
     return long.withColumn("_n", n).filter(F.col("_n") >= min_rows).select("trade_date", "ts_code", "factor_name", "raw_val", "industry", "total_mv")
@@ -58,5 +66,14 @@ def raw_factors(bars: DataFrame, basic: DataFrame, disclosures: DataFrame, min_r
 
 def factor_metrics(bars: DataFrame, basic: DataFrame, disclosures: DataFrame, names: tuple = NAMES, industries: tuple | None = None) -> DataFrame:
     """The cleaned factors of all dates: trade_date, ts_code, factor_name, raw_val, clean_val."""
-    raw = raw_factors(bars, basic, disclosures).filter(F.col("factor_name").isin(*names))
+    raw = raw_factors(bars, basic, disclosures, names=names)
     return clean(raw, industries=industries).select("trade_date", "ts_code", "factor_name", "raw_val", "clean_val")
+
+
+def scan(metrics: DataFrame, name: str, start: str | None = None, end: str | None = None, use_clean: bool = True) -> DataFrame:
+    """trade_date, ts_code, factor_val of one factor between two dates (both ends included; None: no
+    bound), from its clean or raw values. Prices are never bounded by these dates: exits lie beyond."""
+    f = metrics.filter(F.col("factor_name") == name)
+    f = f.filter(F.col("trade_date") >= start) if start else f
+    f = f.filter(F.col("trade_date") <= end) if end else f
+    return f.select("trade_date", "ts_code", F.col("clean_val" if use_clean else "raw_val").alias("factor_val"))

@@ -13,11 +13,14 @@ def snapshot(pit: DataFrame, date: str) -> DataFrame:
 
 
 def as_of(left: DataFrame, pit: DataFrame, columns: list[str]) -> DataFrame:
-    """The same for every (ts_code, trade_date) of the left side, which keeps all its rows: each
-    disclosure holds from its announcement to the next one, an interval join on the stock."""
-    w = Window.partitionBy("ts_code", "ann_date").orderBy(F.col("end_date").desc())
-    p = pit.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-    p = p.withColumn("_until", F.lead("ann_date").over(Window.partitionBy("ts_code").orderBy("ann_date")))
-    p = p.select(F.col("ts_code").alias("_code"), "ann_date", "_until", *columns)
-    on = (F.col("ts_code") == F.col("_code")) & (F.col("trade_date") >= F.col("ann_date")) & (F.col("_until").isNull() | (F.col("trade_date") < F.col("_until")))
-    return left.join(p, on, "left").drop("_code", "_until")
+    """The same for every (ts_code, trade_date) of the left side, which keeps all its rows: both sides
+    in one line by stock and date, disclosures before the rows of their day, and the last disclosure
+    carried on. One shuffle, and no row of the result but the left side's own."""
+    kept = [c for c in left.columns if c != "ts_code"]
+    found = ["ann_date", *columns]
+    a = left.select("ts_code", F.col("trade_date").alias("_at"), F.lit(1).alias("_side"), F.lit("").alias("_end"), F.struct(*kept).alias("_row"), *[F.lit(None).cast(pit.schema[c].dataType).alias(f"_p_{c}") for c in found])
+    b = pit.select("ts_code", F.col("ann_date").alias("_at"), F.lit(0).alias("_side"), F.col("end_date").alias("_end"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *[F.col(c).alias(f"_p_{c}") for c in found])
+    w = Window.partitionBy("ts_code").orderBy("_at", "_side", "_end").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_side") == 0, F.struct(*[F.col(f"_p_{c}").alias(c) for c in found])), ignorenulls=True).over(w)
+    j = a.unionByName(b).withColumn("_last", last).filter("_side = 1")
+    return j.select("ts_code", *[F.col("_row")[c].alias(c) for c in kept], *[F.col("_last")[c].alias(c) for c in found])

@@ -85,10 +85,10 @@ CTES: dict[str, str] = {
     "ls": "select a.p, a.exit_date, a.nav / b.nav as nav, (a.nav / b.nav) / lag(a.nav / b.nav) over (order by a.p) - 1 as ret from nav a join nav b on a.p = b.p and a.grp = 5 and b.grp = 1",
     "port": "select 'Group_' || grp as portfolio, p, nav from nav union all select 'Long_Short', p, nav from ls",
     "path": "select *, nav / lag(nav) over (partition by portfolio order by p) - 1 as r, nav / max(nav) over (partition by portfolio order by p) - 1 as dd from port",
-    "stat": """select portfolio, arg_max(nav, p) as f, pow(f, 84.0 / greatest(count(r), 1)) - 1 as ret, coalesce(stddev_pop(r), 0) * sqrt(84.0) as vol, floor(min(dd) * 1e4 + 0.5) / 1e4 as mdd from path group by portfolio""",
-    "metrics": """select s.portfolio, floor(ret * 1e4 + 0.5) / 1e2 as annual_return, floor(vol * 1e4 + 0.5) / 1e2 as annual_volatility,
-      case when vol > 1e-6 then floor((ret - case when s.portfolio = 'Long_Short' then 0 else 0.02 end) / vol * 1e3 + 0.5) / 1e3 else 0 end as sharpe_ratio, floor(mdd * 1e4 + 0.5) / 1e2 as max_drawdown,
-      case when abs(mdd) > 1e-6 then floor(abs(ret / mdd) * 1e3 + 0.5) / 1e3 else 0 end as calmar_ratio, floor(t.turn * 1e2 + 0.5) / 1e2 as annual_turnover, floor(f * 1e4 + 0.5) / 1e4 as final_nav
+    "stat": """select portfolio, arg_max(nav, p) as f, pow(f, 84.0 / greatest(count(r), 1)) - 1 as ret, coalesce(stddev_pop(r), 0) * sqrt(84.0) as vol, round_even(min(dd) * 1e4, 0) / 1e4 as mdd from path group by portfolio""",
+    "metrics": """select s.portfolio, round_even(ret * 1e4, 0) / 1e2 as annual_return, round_even(vol * 1e4, 0) / 1e2 as annual_volatility,
+      case when vol > 1e-6 then round_even((ret - case when s.portfolio = 'Long_Short' then 0 else 0.02 end) / vol * 1e3, 0) / 1e3 else 0 end as sharpe_ratio, round_even(mdd * 1e4, 0) / 1e2 as max_drawdown,
+      case when abs(mdd) > 1e-6 then round_even(abs(ret / mdd) * 1e3, 0) / 1e3 else 0 end as calmar_ratio, round_even(t.turn * 1e2, 0) / 1e2 as annual_turnover, round_even(f * 1e4, 0) / 1e4 as final_nav
       from stat s left join (select 'Group_' || grp as portfolio, avg(turnover) * 84.0 as turn from turns group by grp) t using (portfolio)""",
     "hmask_for": "select max(trade_date) as trade_date, null::varchar as next_date from mom",
     "hmask": "{mask:hmask_for}",
@@ -114,7 +114,7 @@ def _expand(text: str) -> str:
         while depth:
             depth += {"(": 1, ")": -1}.get(text[i], 0)
             i += 1
-        text = f"{text[: m.start()]}(floor(({text[m.end() : i - 1]}) * {_PLACES} + 0.5) / {_PLACES}){text[i:]}"
+        text = f"{text[: m.start()]}(round_even(({text[m.end() : i - 1]}) * {_PLACES}, 0) / {_PLACES}){text[i:]}"
     return text
 
 
