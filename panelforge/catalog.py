@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,23 +14,25 @@ from .functions.scalars import quantise as q
 from .operators import backtest, calendar, features, ic, mask, pit, xsection
 from .oracles import sql
 from .plans import report, sync
-from .sources import fixtures, tables
+from .sources import fixtures, landed, scratch, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 LAGS = (1, 5)
+_SAMPLES = ("招商银行", "中信证券", "贵州茅台", "宁德时代", "比亚迪", "北京文化", "中国建筑", "顺丰控股", "未知公司", "三一重工")
 GROUPS, INTERVAL, FEE = 5, 3, 0.001
 
 
 def query(oracle: str | None = None, **more: str):
-    """Register a function of (bars, pit, basic, ...) inputs under its name, with its SQL."""
+    """Register a function under its name, with its SQL; more: named expressions of the SQL that
+    differ from the common ones."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if oracle:
-            ORACLE_SQL[f.__name__] = sql(oracle)
+            ORACLE_SQL[f.__name__] = sql(oracle, **more)
         return f
 
     return add
@@ -100,12 +104,12 @@ def historical_bars_lookback(s, d):
     return _q(b.crossJoin(F.broadcast(first)).filter("trade_date >= first").select("ts_code", "trade_date", "adj_close"), "adj_close")  # one row: the first date
 
 
-@query("select ts_code, count(*) as n from bar_d group by ts_code having count(*) > 20")
+@query("select ts_code, count(*) as n from bar_d group by ts_code having count(*) > 25")
 def having_count(s, d):
-    return fixtures.bar_d(s, d).groupBy("ts_code").agg(F.count("*").alias("n")).filter("n > 20")
+    return fixtures.bar_d(s, d).groupBy("ts_code").agg(F.count("*").alias("n")).filter("n > 25")
 
 
-@query("select b.ts_code from (select distinct ts_code from bar_d) b where not exists (select 1 from bar_d x where x.ts_code = b.ts_code group by x.ts_code having count(*) > 20)")
+@query("select b.ts_code from (select distinct ts_code from bar_d) b where not exists (select 1 from bar_d x where x.ts_code = b.ts_code group by x.ts_code having count(*) > 25)")
 def pending_anti_join(s, d):
     b = fixtures.bar_d(s, d)
     return b.select("ts_code").distinct().join(having_count(s, d), "ts_code", "left_anti")
@@ -270,6 +274,25 @@ def rank_ic_summary(s, d):
     return _q(ic.summary(_ic(s, d)), "mean_ic", "std_ic", "ir", "positive_ratio", "cum_ic")
 
 
+_RANGE = ("19970101", "19981231")
+_RAW = f"select trade_date, ts_code, raw_val as factor_val from factors where factor_name = 'REV_5D' and trade_date between '{_RANGE[0]}' and '{_RANGE[1]}'"
+
+
+@query("select trade_date, ts_code, q6(factor_val) as factor_val from mom", mom=_RAW)
+def factor_scan_raw_range(s, d):
+    return _q(features.scan(_factors(s, d, ("REV_5D",)), "REV_5D", *_RANGE, use_clean=False), "factor_val")
+
+
+@query("select lag, trade_date, n, q6(ic) as ic from ic", mom=_RAW)
+def rank_ic_raw_range(s, d):
+    return _q(ic.of_factor(_factors(s, d, ("REV_5D",)), _bars(s, d), "REV_5D", LAGS, *_RANGE, use_clean=False), "ic")
+
+
+@query("select lag, round_even(avg(ic) * 1e4, 0) / 1e4 as mean_ic, round_even(stddev_pop(ic) * 1e4, 0) / 1e4 as std_ic, round_even(case when stddev_pop(ic) > 1e-6 then avg(ic) / stddev_pop(ic) else 0 end * sqrt(252.0 / lag) * 1e3, 0) / 1e3 as ir, round_even(avg(case when ic > 0 then 1.0 else 0.0 end) * 1e4, 0) / 1e2 as positive_ratio, count(*) as n_dates, q6(sum(ic)) as cum_ic from ic group by lag")
+def rank_ic_published(s, d):
+    return _q(ic.published(ic.summary(_ic(s, d))), "cum_ic")
+
+
 @query("select lag, trade_date, q6(sum(ic) over (partition by lag order by trade_date)) as cum_ic from ic")
 def cum_ic(s, d):
     return _q(ic.cumulative(_ic(s, d)).select("lag", "trade_date", "cum_ic"), "cum_ic")
@@ -320,6 +343,17 @@ def bt_nav(s, d):
     return _q(_backtest(s, d).nav, "nav")
 
 
+@query("select p, grp, exit_date, q6(nav) as nav from nav", mom=_RAW)
+def bt_nav_raw_range(s, d):
+    return _q(backtest.Backtest.of_factor(_factors(s, d, ("REV_5D",)), _bars(s, d), fixtures.basic(s, d), "REV_5D", *_RANGE, use_clean=False, n_groups=GROUPS, interval=INTERVAL, fee=FEE).nav, "nav")
+
+
+@query("select period, trade_date, entry_date, exit_date from sched", fd="select trade_date, row_number() over (order by trade_date) - 1 as rn, count(*) over () as n from (select distinct trade_date from mom order by 1 limit 5)")
+def rebalance_schedule_short(s, d):
+    few = _mom(s, d).select("trade_date").distinct().orderBy("trade_date").limit(5)
+    return calendar.schedule(few, calendar.index(_bars(s, d)), INTERVAL)
+
+
 @query("select p, exit_date, q6(bench_ret) as bench_ret, q6(product(1 + bench_ret) over (order by p)) as bench_nav from bench")
 def bt_benchmark(s, d):
     return _q(_backtest(s, d).benchmark, "bench_ret", "bench_nav")
@@ -374,6 +408,102 @@ def available_factors(s, d):
     return _factors(s, d).select("factor_name").distinct()
 
 
+@query("select unnest(['MOM_20D', 'REV_5D', 'VOL_20D', 'EP_TTM', 'ROE_TTM']) as factor_name")
+def available_factors_default(s, d):
+    return report.available(s.createDataFrame([], tables.SCHEMAS["factor_metrics"]))[0]
+
+
+# --- the warehouse -------------------------------------------------------------------------------
+
+
+def _warehouse(s) -> tables.Warehouse:
+    root = f"{scratch.shared_dir(s)}/panelforge-{uuid.uuid4().hex}"
+    atexit.register(scratch.drop, s, root)
+    w = tables.Warehouse(s, root)
+    w.init()
+    return w
+
+
+@query("select ts_code, trade_date, q6(case when trade_date >= '19970601' then close + 1 else close end) as close from bar_m")
+def warehouse_upsert(s, d):
+    w, b = _warehouse(s), _bars(s, d)
+    w.insert("daily_bar", b.filter("trade_date < '19970901'"))
+    w.upsert("daily_bar", b.filter("trade_date >= '19970601'").withColumn("close", F.col("close") + 1))
+    return _q(w.read("daily_bar").select("ts_code", "trade_date", "close"), "close")
+
+
+@query("select ts_code, trade_date, q6(close) as close from bar_m where trade_date between '19970201' and '19970501'")
+def warehouse_range(s, d):
+    w = _warehouse(s)
+    w.insert("daily_bar", _bars(s, d))
+    return _q(w.read("daily_bar", "19970201", "19970501").select("ts_code", "trade_date", "close"), "close")
+
+
+@query("select trade_date, ts_code, factor_name, q6(clean_val) as clean_val from factors where trade_date in ('19970601', '19980301') or trade_date > '20000101'")
+def factor_backfill(s, d):
+    """Chosen dates first, then one of 2000, then whatever lags behind the bars."""
+    w = _warehouse(s)
+    for name, df in (("daily_bar", _bars(s, d)), ("stock_basic", fixtures.basic(s, d)), ("financial_pit", fixtures.pit_q(s, d))):
+        w.insert(name, df)
+    sync.populate(w, s.createDataFrame([("19970601",), ("19980301",), ("20000201",)], "trade_date string"))
+    sync.catch_up(w)
+    return _q(w.read("factor_metrics").select("trade_date", "ts_code", "factor_name", "clean_val"), "clean_val")
+
+
+# --- landed responses ----------------------------------------------------------------------------
+
+
+@query("select ts_code, trade_date, q6(open) as open, q6(high) as high, q6(low) as low, q6(close) as close, q6(coalesce(lag(close) over (partition by ts_code order by trade_date), open)) as pre_close, vol, round_even(vol * ((open + close) / 2) * 1e4, 0) / 1e2 as amount, 1.0::double as adj_factor, q6(close) as adj_close from bar_m")
+def landed_klines(s, d):
+    """Two answers a stock whose ranges overlap, each third one without adjusted bars."""
+    b = _bars(s, d).withColumn("third", F.substring("ts_code", 1, 6).cast("int") % 3 == 0)
+    day = F.concat_ws("-", F.substring("trade_date", 1, 4), F.substring("trade_date", 5, 2), F.substring("trade_date", 7, 2))
+    row = F.array(day, *[F.col(c).cast("string") for c in ("open", "close", "high", "low", "vol")])
+    parts = b.withColumn("part", F.explode(F.array(F.lit(1), F.lit(2)))).filter("(part = 1 and trade_date < '19970101') or (part = 2 and trade_date >= '19961001')")
+    rows = parts.groupBy("ts_code", "part", "third").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    junk = F.array(F.array(*[F.lit("1990-01-01")] + [F.lit("0")] * 5))
+    answer = F.struct(F.when(~F.col("third"), F.col("rows")).alias("hfqday"), F.when(F.col("third"), F.col("rows")).otherwise(junk).alias("day"))
+    body = F.to_json(F.struct(F.create_map(landed.symbol(F.col("ts_code")), answer).alias("data")))
+    return _q(landed.klines(rows.select("ts_code", "part", body.alias("body"))), "open", "high", "low", "close", "pre_close", "adj_close")
+
+
+_SUBS = ("白酒", "未列行业", "电池")
+
+
+def _listed_sql() -> str:
+    names, subs = (", ".join(f"'{x}'" for x in xs) for xs in (_SAMPLES, _SUBS))
+    return f"""select ts_code, name, case when hit <> '综合' then hit when k % 4 <> 0 then '综合' when sub = '白酒' then '食品饮料' when sub = '电池' then '电力设备' else sub end as industry, '20100101' as list_date, (k % 7 = 0)::int as is_st, market_board
+      from (select k, code || case when sh then '.SH' else '.SZ' end as ts_code, name, {_rules_case()} as hit, sub, case when sh and code like '688%' then 'STAR' when not sh and code like '300%' then 'ChiNext' else 'Main' end as market_board
+        from (select s_suppkey as k, lpad(((s_suppkey * 7919) % 1000000)::varchar, 6, '0') as code, s_suppkey % 2 = 0 or code like '6%' as sh, case when s_suppkey % 7 = 0 then 'ST' else '' end || [{names}][s_suppkey % {len(_SAMPLES)} + 1] as name, [{subs}][s_suppkey % 3 + 1] as sub
+          from supplier order by s_suppkey limit 60))"""
+
+
+def _rules_case() -> str:
+    pat = "|".join
+    cases = [f"when regexp_matches(name, '{pat(industries.BANK_HINTS)}') and regexp_matches(name, '{pat(industries.BANK_WORDS)}') then '银行'"]
+    cases += [f"when regexp_matches(name, '{pat(w)}') then '{i}'" for i, w in industries.RULES]
+    return f"case {' '.join(cases)} else '综合' end"
+
+
+@query(_listed_sql())
+def landed_constituents(s, d):
+    """The first sixty of a list, some with a page that names a sub-industry."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.when(k % 7 == 0, "ST").otherwise(""), F.element_at(F.array(*map(F.lit, _SAMPLES)), (k % len(_SAMPLES) + 1).cast("int")))
+    code, exchange = ((k * 7919) % 1000000).cast("string"), F.when(k % 2 == 0, "上海证券交易所").otherwise("深圳证券交易所")
+    listed = fixtures.table(s, d, "supplier").select(k.alias("at"), code.alias("code"), name.alias("name"), exchange.alias("exchange"))
+    sub = F.element_at(F.array(*map(F.lit, _SUBS)), (k % 3 + 1).cast("int"))
+    html = F.concat(F.lit("<html><table><td>other</td><td>x</td></table>\n<TABLE class='t'><tr><td> <b>所属行业板块</b> </td><td>&nbsp;</td>\n<td>  <a href='#'>"), sub, F.lit("</a>\n</td><td>last</td></tr></TABLE></html>"))
+    pages = fixtures.table(s, d, "supplier").filter(k % 4 == 0).select(scalars.exchange_code(code, exchange).alias("ts_code"), html.alias("html"))
+    return landed.constituents(listed, 60, pages)
+
+
+@query("select s_suppkey, case when s_suppkey % 3 = 0 then 'sh' else 'sz' end || lpad(s_suppkey::varchar, 6, '0') as symbol from supplier")
+def service_symbol(s, d):
+    k = F.col("s_suppkey")
+    return fixtures.table(s, d, "supplier").select(k, landed.symbol(F.concat(F.lpad(k.cast("string"), 6, "0"), F.when(k % 3 == 0, ".SH").otherwise(".SZ"))).alias("symbol"))
+
+
 # --- upserts, keys, samples ----------------------------------------------------------------------
 
 
@@ -410,6 +540,11 @@ def sample_every_k_with_tail(s, d):
     return calendar.every(_bars(s, d).select("trade_date").distinct(), 5, start=20, tail="rest")
 
 
+@query("select trade_date from cal where idx % 5 = 0 or idx = (select max(idx) from cal)")
+def sample_every_k_with_last(s, d):
+    return calendar.every(_bars(s, d).select("trade_date").distinct(), 5, tail="last")
+
+
 @query("select s_suppkey, case when sh and code like '688%' then 'STAR' when not sh and code like '300%' then 'ChiNext' else 'Main' end as board, code || case when sh then '.SH' else '.SZ' end as ts_code from (select s_suppkey, code, code like '6%' as sh from (select s_suppkey, lpad(((s_suppkey * 7919 + 300000 * (s_suppkey % 3)) % 1000000)::varchar, 6, '0') as code from supplier))")
 def classify_board(s, d):
     k = F.col("s_suppkey")
@@ -424,15 +559,9 @@ def digits_to_int(s, d):
     return fixtures.table(s, d, "supplier").select("s_suppkey", scalars.digits_to_int(name).alias("digits"))
 
 
-_SAMPLES = ("招商银行", "中信证券", "贵州茅台", "宁德时代", "比亚迪", "北京文化", "中国建筑", "顺丰控股", "未知公司", "三一重工")
-
-
 def _rules_sql() -> str:
-    pat = "|".join
-    cases = [f"when regexp_matches(name, '{pat(industries.BANK_HINTS)}') and regexp_matches(name, '{pat(industries.BANK_WORDS)}') then '银行'"]
-    cases += [f"when regexp_matches(name, '{pat(w)}') then '{i}'" for i, w in industries.RULES]
     names = ", ".join(f"'{n}'" for n in _SAMPLES)
-    return f"select s_suppkey, name, case {' '.join(cases)} else '综合' end as industry from (select s_suppkey, [{names}][s_suppkey % {len(_SAMPLES)} + 1] as name from supplier)"
+    return f"select s_suppkey, name, {_rules_case()} as industry from (select s_suppkey, [{names}][s_suppkey % {len(_SAMPLES)} + 1] as name from supplier)"
 
 
 @query(_rules_sql())

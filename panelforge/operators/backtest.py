@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import quantise
 from ..sources.scratch import written
 from . import calendar, mask
+from .features import scan
 from .xsection import spearman
 
 
@@ -155,6 +156,11 @@ class Backtest:
         self.n_groups, self.interval, self.fee = n_groups, interval, fee
         self._factor = factor
 
+    @classmethod
+    def of_factor(cls, metrics: DataFrame, bars: DataFrame, basic: DataFrame, name: str, start: str | None = None, end: str | None = None, use_clean: bool = True, **how) -> Backtest:
+        """Of a stored factor between two dates, by its clean or raw values; all prices count."""
+        return cls(scan(metrics, name, start, end, use_clean), bars, basic, **how)
+
     @cached_property
     def factor(self) -> DataFrame:
         return written(self._factor.select("trade_date", "ts_code", "factor_val"), "bt_factor")

@@ -48,11 +48,13 @@ def price_features(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
 COLUMNS = {"MOM_20D": "mom_20", "REV_5D": "rev_5", "VOL_20D": "vol_20", "EP_TTM": "ep_ttm", "ROE_TTM": "roe_ttm"}
 
 
-def raw_factors(bars: DataFrame, basic: DataFrame, disclosures: DataFrame, min_rows: int = 10, names: tuple = NAMES) -> DataFrame:
+def raw_factors(bars: DataFrame, basic: DataFrame, disclosures: DataFrame, min_rows: int = 10, names: tuple = NAMES, dates: DataFrame | None = None) -> DataFrame:
     """Long form: trade_date, ts_code, factor_name, raw_val, industry, total_mv. Stocks with fewer
     than five bars in the lookback, and factors with fewer than min_rows rows on a date, are left out.
-    Only the named factors are computed; disclosures are read only for those that need them."""
+    Only the named factors are computed; disclosures are read only for those that need them. dates:
+    trade_date, a calendar's rows; only these are computed."""
     f = price_features(bars).filter("n_bars >= 5")
+    f = f if dates is None else f.join(F.broadcast(dates), "trade_date", "left_semi")
     if {"EP_TTM", "ROE_TTM"} & set(names):
         f = pit.as_of(f, disclosures, ["ttm_net_profit", "roe_ttm"]).withColumn("ep_ttm", F.try_divide(F.col("ttm_net_profit"), F.col("total_mv")))
     known = basic.select("ts_code", "industry", F.lit(True).alias("_known"))
@@ -64,9 +66,9 @@ def raw_factors(bars: DataFrame, basic: DataFrame, disclosures: DataFrame, min_r
     return long.withColumn("_n", n).filter(F.col("_n") >= min_rows).select("trade_date", "ts_code", "factor_name", "raw_val", "industry", "total_mv")
 
 
-def factor_metrics(bars: DataFrame, basic: DataFrame, disclosures: DataFrame, names: tuple = NAMES, industries: tuple | None = None) -> DataFrame:
+def factor_metrics(bars: DataFrame, basic: DataFrame, disclosures: DataFrame, names: tuple = NAMES, industries: tuple | None = None, dates: DataFrame | None = None) -> DataFrame:
     """The cleaned factors of all dates: trade_date, ts_code, factor_name, raw_val, clean_val."""
-    raw = raw_factors(bars, basic, disclosures, names=names)
+    raw = raw_factors(bars, basic, disclosures, names=names, dates=dates)
     return clean(raw, industries=industries).select("trade_date", "ts_code", "factor_name", "raw_val", "clean_val")
 
 

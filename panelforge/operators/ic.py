@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import divide
+from ..functions.scalars import divide, quantise
 from . import calendar
+from .features import scan
 from .xsection import spearman
 
 LAGS = (1, 5, 20)
@@ -36,6 +37,16 @@ def summary(ic: DataFrame) -> DataFrame:
     return s.withColumn("ir", divide(F.col("mean_ic"), F.col("std_ic"), 1e-6, 0.0) * F.sqrt(F.lit(252.0) / F.col("lag")))
 
 
+def published(s: DataFrame) -> DataFrame:
+    """A summary rounded as it is shown: four places, the ratio three, the share two."""
+    return s.withColumns({"mean_ic": quantise(F.col("mean_ic"), 4), "std_ic": quantise(F.col("std_ic"), 4), "ir": quantise(F.col("ir"), 3), "positive_ratio": quantise(F.col("positive_ratio"), 2)})
+
+
+def of_factor(metrics: DataFrame, bars: DataFrame, name: str, lags: tuple = LAGS, start: str | None = None, end: str | None = None, use_clean: bool = True) -> DataFrame:
+    """Rank ICs of a stored factor between two dates, from its clean or raw values; all prices count."""
+    return rank_ic(scan(metrics, name, start, end, use_clean), bars, lags)
+
+
 def cumulative(ic: DataFrame) -> DataFrame:
     return ic.withColumn("cum_ic", F.sum("ic").over(Window.partitionBy("lag").orderBy("trade_date")))
 

@@ -118,9 +118,10 @@ def _expand(text: str) -> str:
     return text
 
 
-def sql(final: str) -> str:
-    """The query with the expressions it needs, in order."""
-    final, bodies, need = _expand(final), {k: _expand(v) for k, v in CTES.items()}, set()
+def sql(final: str, **other: str) -> str:
+    """The query with the expressions it needs, in order; other: expressions to use in place of those
+    of the same name."""
+    final, bodies, need = _expand(final), {k: _expand(v) for k, v in (CTES | other).items()}, set()
 
     def visit(text: str, own: str = "") -> None:
         for name in set(re.findall(r"\b(?:from|join)\s+(\w+)|,\s*(\w+)\s+[a-z]\b", text)):

@@ -8,6 +8,8 @@ import html
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.features import NAMES
+
 
 def latest_holdings(factor: DataFrame, basic: DataFrame, masks: DataFrame) -> DataFrame:
     """The last date's factor values with names and tradability; no mask row counts as tradable."""
@@ -31,6 +33,32 @@ def exposure(holdings: DataFrame) -> DataFrame:
     return holdings.filter("industry is not null").groupBy("industry").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "industry")
 
 
+#: Labels of the columns that tables show.
+LABELS = {
+    "portfolio": "Portfolio", "annual_return": "Annual return %", "annual_volatility": "Annual volatility %", "sharpe_ratio": "Sharpe", "max_drawdown": "Max drawdown %",
+    "calmar_ratio": "Calmar", "annual_turnover": "Annual turnover", "final_nav": "Final value", "ts_code": "Code", "name": "Name", "industry": "Industry", "factor_val": "Factor value", "filter_reason": "Tradability",
+}
+
+
+def labelled(df: DataFrame) -> DataFrame:
+    """The columns that have a label, under it."""
+    return df.select(*[F.col(c).alias(LABELS[c]) for c in df.columns if c in LABELS])
+
+
+def metrics_table(metrics: DataFrame) -> DataFrame:
+    """Metrics as shown, groups in order of their number and the long-short portfolio last."""
+    number = F.coalesce(F.expr("try_cast(substring_index(portfolio, '_', -1) as int)"), F.lit(1 << 30))
+    return labelled(metrics.orderBy(number))
+
+
+def available(metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(factor_name, the five defaults if the table is empty; trade_date) that the table has."""
+    names = metrics.select("factor_name").distinct()
+    default = metrics.sparkSession.createDataFrame([(n,) for n in NAMES], "factor_name string")
+    none = names.agg(F.count("*").alias("_n")).filter("_n = 0")
+    return names.unionByName(default.crossJoin(none).drop("_n")), metrics.select("trade_date").distinct()  # one row or none
+
+
 def html_report(metrics: DataFrame, factor_name: str, title: str = "Factor report") -> str:
     """A table of the top group, the bottom group and the long-short portfolio: a handful of rows."""
     rows = {r["portfolio"]: r for r in metrics.collect()}

@@ -29,8 +29,9 @@ def universe(spark: SparkSession, n: int = 100) -> DataFrame:
 
 
 def bars(stocks: DataFrame, dates: DataFrame, state: DataFrame | None = None, seed: str = "bars") -> DataFrame:
-    """A random walk per stock with suspensions, one-word limits and dividends, from the listing on.
-    state: ts_code, close, adj_factor to resume from."""
+    """A random walk per stock with suspensions, one-word limits and, on every 200th date, a dividend
+    that raises the adjustment factor; from the listing on. Test data: the walk depends on its path and
+    is made row by row in Python, a stock to a row. state: ts_code, close, adj_factor to resume from."""
     if state is None:
         s = stocks.withColumns({"last_close": F.lit(None).cast("double"), "last_adj": F.lit(None).cast("double")})
     else:
@@ -41,16 +42,15 @@ def bars(stocks: DataFrame, dates: DataFrame, state: DataFrame | None = None, se
         for f in frames:
             out = []
             for r in f.itertuples():
-                days = [d for d in r.days if d >= r.list_date]
-                rng = np.random.default_rng(zlib.crc32(f"{seed}|{r.ts_code}|{days[0] if days else ''}".encode()))
+                days = [(k, d) for k, d in enumerate(r.days) if d >= r.list_date]
+                rng = np.random.default_rng(zlib.crc32(f"{seed}|{r.ts_code}|{days[0][1] if days else ''}".encode()))
                 close = r.last_close if pd.notna(r.last_close) and r.last_close else 8.0 + zlib.crc32(r.ts_code.encode()) % 90
                 adj = r.last_adj if pd.notna(r.last_adj) and r.last_adj else 1.0
                 limit = 0.20 if r.market_board in ("ChiNext", "STAR") else 0.10
-                for k, d in enumerate(days):
-                    pre, u, vol = close, rng.random(), float(int(rng.uniform(5e4, 5e6)))
+                for k, d in days:
+                    pre, u, vol = round(close, 2), rng.random(), float(int(rng.uniform(5e4, 5e6)))
                     if k and k % 200 == 0:
-                        adj *= 1.02
-                        pre = round(pre / 1.02, 4)
+                        adj = round(adj * pre / max(1.0, pre - round(rng.uniform(0.5, 1.5), 2)), 4)
                     if u < 0.015 and not r.is_st:
                         o = h = lo = close = pre
                         vol = 0.0
@@ -62,7 +62,7 @@ def bars(stocks: DataFrame, dates: DataFrame, state: DataFrame | None = None, se
                         close = max(0.5, round(pre * (1 + float(np.clip(rng.normal(0.0003, 0.018), -limit, limit))), 2))
                         o = round(pre * (1 + rng.normal(0, 0.004)), 2)
                         h, lo = max(o, close) * (1 + abs(rng.normal(0, 0.004))), min(o, close) * (1 - abs(rng.normal(0, 0.004)))
-                    out.append((r.ts_code, d, o, h, lo, close, pre, vol, vol * close, adj, close * adj))
+                    out.append((r.ts_code, d, o, h, lo, close, pre, vol, round(vol * (o + close) / 2 * 100, 2), adj, round(close * adj, 4)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in BARS.split(", ")])
 
     return s.select("ts_code", "list_date", "is_st", "market_board", "last_close", "last_adj", "days").repartition("ts_code").mapInPandas(walk, BARS)
