@@ -1,5 +1,6 @@
 """Panel operators on small hand-made frames."""
 
+import json
 import math
 from datetime import date
 
@@ -8,55 +9,68 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.functions import industries
+from panelforge.__main__ import main
+from panelforge.functions import industries, scalars
 from panelforge.operators import backtest, calendar, features, ic, mask, pit, xsection
 from panelforge.plans import report, sync
 from panelforge.sources import synthetic
-from panelforge.sources.tables import SCHEMAS, Warehouse
+from panelforge.sources.tables import SCHEMAS, ConcurrentWrite, Warehouse
 
-BASIC = [
-    ("600000.SH", "浦发银行", "银行", "20100101", 0, "Main"),
-    ("000001.SZ", "平安银行", "银行", "20100101", 0, "Main"),
-    ("000002.SZ", "ST万科", "房地产", "20100101", 1, "Main"),
-    ("300001.SZ", "特锐德", "电力设备", "20240101", 0, "ChiNext"),
+STOCKS = [
+    ("610001.SH", "Alder", "电子", "20050303", 0, "Main"),
+    ("020002.SZ", "Birch", "汽车", "20050303", 0, "Main"),
+    ("020003.SZ", "STCedar", "传媒", "20050303", 1, "Main"),
+    ("310004.SZ", "Elm", "通信", "20230901", 0, "ChiNext"),
+    ("310005.SZ", "Fir", "通信", "20050303", 0, "ChiNext"),
 ]
-PIT = [
-    ("600000.SH", "20241028", "20240930", 8.5, 4.5e10, 1.2e11, 6.0e10, 11.2),
-    ("600000.SH", "20250420", "20241231", 10.2, 5.8e10, 1.6e11, 5.8e10, 10.2),
+REPORTS = [
+    ("610001.SH", "20230811", "20230630", 3.25, 7.0e8, 3.0e9, 1.3e9, 6.5),
+    ("610001.SH", "20231117", "20230930", 4.75, 1.1e9, 4.4e9, 1.5e9, 7.5),
 ]
-BARS = [
-    ("600000.SH", "20250401", 10.0, 10.2, 9.9, 10.1, 10.0, 50000.0, 505000.0, 1.0, 10.1),
-    ("600000.SH", "20250402", 10.1, 10.3, 10.0, 10.2, 10.1, 60000.0, 612000.0, 1.0, 10.2),
-    ("000001.SZ", "20250401", 12.0, 12.2, 11.9, 12.0, 12.0, 30000.0, 360000.0, 1.0, 12.0),
-    ("000001.SZ", "20250402", 13.2, 13.2, 13.2, 13.2, 12.0, 1000.0, 13200.0, 1.0, 13.2),
-    ("000002.SZ", "20250401", 8.0, 8.0, 8.0, 8.0, 8.0, 0.0, 0.0, 1.0, 8.0),
+DAYS = [
+    ("610001.SH", "20231113", 31.0, 31.6, 30.7, 31.4, 31.0, 8200.0, 255840.0, 1.5, 47.1),
+    ("610001.SH", "20231114", 31.4, 32.0, 31.1, 31.8, 31.4, 7100.0, 224360.0, 1.5, 47.7),
+    ("020002.SZ", "20231113", 5.0, 5.1, 4.9, 5.0, 5.0, 4400.0, 22000.0, 1.0, 5.0),
+    ("020002.SZ", "20231114", 5.5, 5.5, 5.5, 5.5, 5.0, 300.0, 1650.0, 1.0, 5.5),
+    ("020003.SZ", "20231113", 2.4, 2.4, 2.4, 2.4, 2.4, 0.0, 0.0, 1.0, 2.4),
+    ("310005.SZ", "20231113", 20.0, 20.5, 19.5, 20.0, 20.0, 900.0, 18000.0, 1.0, 20.0),
+    ("310005.SZ", "20231114", 16.0, 16.8, 16.0, 16.2, 20.0, 900.0, 14500.0, 1.0, 16.2),
 ]
 
 
 @pytest.fixture(scope="module")
 def small(spark):
-    return {n: spark.createDataFrame(r, SCHEMAS[n]) for n, r in (("stock_basic", BASIC), ("financial_pit", PIT), ("daily_bar", BARS))}
+    return {n: spark.createDataFrame(r, SCHEMAS[n]) for n, r in (("stock_basic", STOCKS), ("financial_pit", REPORTS), ("daily_bar", DAYS))}
 
 
 def test_no_lookahead(spark, small):
     def at(d):
         return pit.snapshot(small["financial_pit"], d).first()
 
-    assert (at("20250401")["end_date"], at("20250401")["net_profit"]) == ("20240930", 4.5e10)
-    assert (at("20250421")["end_date"], at("20250421")["net_profit"]) == ("20241231", 5.8e10)
-    left = spark.createDataFrame([("600000.SH", d) for d in ("20241001", "20250401", "20250420", "20250421")], "ts_code string, trade_date string")
-    got = {r["trade_date"]: r["end_date"] for r in pit.as_of(left, small["financial_pit"], ["end_date"]).collect()}
-    assert got == {"20241001": None, "20250401": "20240930", "20250420": "20241231", "20250421": "20241231"}
+    assert at("20230810") is None
+    assert (at("20231116")["end_date"], at("20231116")["net_profit"]) == ("20230630", 7.0e8)
+    assert (at("20231117")["end_date"], at("20231117")["net_profit"]) == ("20230930", 1.1e9)
+    left = spark.createDataFrame([("610001.SH", d) for d in ("20230810", "20231116", "20231117", "20240105")] + [("020002.SZ", "20240105")], "ts_code string, trade_date string")
+    got = {(r["ts_code"], r["trade_date"]): r["end_date"] for r in pit.as_of(left, small["financial_pit"], ["end_date"]).collect()}
+    assert got == {("610001.SH", "20230810"): None, ("610001.SH", "20231116"): "20230630", ("610001.SH", "20231117"): "20230930", ("610001.SH", "20240105"): "20230930", ("020002.SZ", "20240105"): None}
+
+
+def test_as_of_takes_the_latest_period_of_a_day(spark):
+    p = spark.createDataFrame([("a", "20240110", "20231231", 2.0), ("a", "20240110", "20230930", 1.0), ("a", "20240401", "20240331", 3.0)], "ts_code string, ann_date string, end_date string, x double")
+    left = spark.createDataFrame([("a", "20240110", 7), ("a", "20240110", 8), ("a", "20240331", 9), (None, "20240331", 1)], "ts_code string, trade_date string, n int")
+    got = sorted((r["n"], r["end_date"], r["x"]) for r in pit.as_of(left, p, ["end_date", "x"]).collect() if r["ts_code"])
+    assert got == [(7, "20231231", 2.0), (8, "20231231", 2.0), (9, "20231231", 2.0)] and pit.as_of(left, p, ["x"]).count() == 4
 
 
 def test_mask(spark, small):
-    d = spark.createDataFrame([("20250401", "20250402")], "trade_date string, next_date string")
+    d = spark.createDataFrame([("20231113", "20231114")], "trade_date string, next_date string")
     m = {r["ts_code"]: r for r in mask.tradable(d, small["stock_basic"], small["daily_bar"]).collect()}
-    assert m["600000.SH"]["is_tradable"] and m["600000.SH"]["can_buy"] and m["600000.SH"]["can_sell"]
-    assert m["000002.SZ"]["is_st"] and m["000002.SZ"]["is_suspended_t"] and not m["000002.SZ"]["is_tradable"]
-    assert m["000001.SZ"]["is_limit_up_next"] and m["000001.SZ"]["is_tradable"] and not m["000001.SZ"]["can_buy"]
-    assert not m["300001.SZ"]["is_tradable"] and not m["300001.SZ"]["can_sell"]
-    assert m["000002.SZ"]["filter_reason"] == "ST;Suspended_T" and m["600000.SH"]["filter_reason"] == "OK"
+    assert m["610001.SH"]["is_tradable"] and m["610001.SH"]["can_buy"] and m["610001.SH"]["can_sell"]
+    assert m["020003.SZ"]["is_st"] and m["020003.SZ"]["is_suspended_t"] and not m["020003.SZ"]["is_tradable"]
+    assert m["020002.SZ"]["is_limit_up_next"] and m["020002.SZ"]["is_tradable"] and not m["020002.SZ"]["can_buy"]
+    assert m["310005.SZ"]["is_limit_down_next"] and m["310005.SZ"]["can_buy"] and not m["310005.SZ"]["can_sell"]
+    assert m["310004.SZ"]["is_new"] and not m["310004.SZ"]["is_tradable"] and not m["310004.SZ"]["can_sell"]
+    assert m["020003.SZ"]["filter_reason"] == "ST;Suspended_T" and m["610001.SH"]["filter_reason"] == "OK"
 
 
 def test_winsorize(spark):
@@ -123,21 +137,159 @@ def test_carried_positions(spark):
     assert t == {1: 0.5, 2: 0.5}
 
 
-def test_warehouse_keys_and_sync(spark, tmp_path):
+def _bar(code, day, close):
+    return (code, day, close, close, close, close, close, 700.0, 700.0 * close, 1.0, close)
+
+
+def _names(spark, path):
+    fs, p = Warehouse(spark, "")._fs(path)
+    return {s.getPath().getName() for s in fs.listStatus(p)}
+
+
+def test_warehouse(spark, tmp_path):
     w = Warehouse(spark, str(tmp_path / "w"))
     w.init()
-    assert set(w.tables()) == set(SCHEMAS)
-    row = ("000001.SZ", "20240102", 10.0, 10.5, 9.9, 10.2, 10.0, 10000.0, 102000.0, 1.25, 12.75)
-    one = spark.createDataFrame([row], SCHEMAS["daily_bar"])
-    w.insert("daily_bar", one)
-    with pytest.raises(ValueError):
-        w.insert("daily_bar", one)
-    w.upsert("daily_bar", one.withColumn("close", F.lit(10.3)).withColumn("adj_close", F.lit(12.875)))
-    assert [r["close"] for r in w.read("daily_bar").collect()] == [10.3]
-    v = Warehouse(spark, str(tmp_path / "v"))
-    assert sync.sync(spark, v, years=0.2, n_stocks=10, as_of=date(2024, 3, 1), factors=False)["status"] == "full_sync"
-    assert sync.sync(spark, v, years=0.2, n_stocks=10, as_of=date(2024, 3, 8), factors=False)["status"] == "updated"
-    assert sync.sync(spark, v, years=0.2, n_stocks=10, as_of=date(2024, 3, 8), factors=False)["status"] == "up_to_date"
+    assert set(w.tables()) == set(SCHEMAS) and w.read("daily_bar").count() == 0
+    bars = spark.createDataFrame([_bar("610001.SH", f"2023{m:02d}{d:02d}", m + d / 100) for m in (1, 2, 3) for d in (5, 6)], SCHEMAS["daily_bar"])
+    assert w.insert("daily_bar", bars) == 6 and w.insert("daily_bar", bars.limit(0)) == 0
+    for again in (bars.limit(1), spark.createDataFrame([_bar("610001.SH", "20230405", 1.0)] * 2, SCHEMAS["daily_bar"])):
+        with pytest.raises(ValueError):
+            w.insert("daily_bar", again)
+    before = w._state("daily_bar")[1]
+    new = spark.createDataFrame([_bar("610001.SH", "20230206", 9.0), _bar("610001.SH", "20230206", 8.0), _bar("020002.SZ", "20230207", 7.0)], SCHEMAS["daily_bar"])
+    assert w.upsert("daily_bar", new) == 3
+    after = w._state("daily_bar")[1]
+    assert {p for p in after if after[p] != before.get(p)} == {"202302"}  # only the month that changed
+    got = {(r["ts_code"], r["trade_date"]): r["close"] for r in w.read("daily_bar").collect()}
+    assert len(got) == 7 and got["610001.SH", "20230206"] == 9.0 and got["020002.SZ", "20230207"] == 7.0
+    w.upsert("daily_bar", new, order=[F.col("close")])  # the smallest close last
+    assert [r["close"] for r in w.read("daily_bar", "20230206", "20230206").collect()] == [8.0]
+    assert all("_part=p202303" in f for f in w.read("daily_bar", "20230301").inputFiles())  # no other part is opened
+    assert w.vacuum() == 2 and w.vacuum() == 0 and w.read("daily_bar").count() == 7
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    a, b = (Warehouse(spark, str(tmp_path / "w")) for _ in "ab")
+    a.init()
+    old = b._state("daily_bar")
+    a.insert("daily_bar", spark.createDataFrame([_bar("610001.SH", "20230105", 1.0)], SCHEMAS["daily_bar"]))
+    with pytest.raises(ConcurrentWrite):
+        b._commit("daily_bar", old[0] + 1, {})
+    stale, real = [old], b._state
+    b._state = lambda name: stale.pop() if stale else real(name)
+    b.insert("daily_bar", spark.createDataFrame([_bar("020002.SZ", "20230105", 2.0)], SCHEMAS["daily_bar"]))
+    assert {r["ts_code"] for r in a.read("daily_bar").collect()} == {"610001.SH", "020002.SZ"}
+
+
+def test_archive(spark, tmp_path, small):
+    w, v = Warehouse(spark, str(tmp_path / "w")), Warehouse(spark, str(tmp_path / "v"))
+    assert not v.restore(str(tmp_path / "none"))
+    w.init()
+    for name, df in small.items():
+        w.insert(name, df)
+    w.archive(str(tmp_path / "w.gz"))
+    assert any(f.endswith(".json.gz") for f in _names(spark, str(tmp_path / "w.gz" / "daily_bar")))
+    assert v.restore(str(tmp_path / "w.gz")) and not v.restore(str(tmp_path / "w.gz"))
+    for name, df in small.items():
+        assert sorted(map(tuple, v.read(name).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_sync(spark, tmp_path):
+    """Full load, up to date, forward, head backfill, lagging factors: the whole state machine."""
+    w = Warehouse(spark, str(tmp_path / "w"))
+    first = sync.on_startup(spark, w, as_of=date(2023, 3, 31))
+    days = [r[0] for r in w.read("daily_bar").select("trade_date").distinct().orderBy("trade_date").collect()]
+    assert first["status"] == "full_sync" and w.read("stock_basic").count() == 60 and (days[0], days[-1]) == ("20210331", "20230331")
+    have = {r[0] for r in w.read("factor_metrics").select("trade_date").distinct().collect()}
+    want = days[20::5] + [d for d in days if d > days[20::5][-1]]
+    assert have == set(want) and first["new_factor_dates"] == len(want)
+    assert sync.on_startup(spark, w, as_of=date(2023, 3, 31))["status"] == "up_to_date"
+
+    last = {r["ts_code"]: r for r in sync.latest_states(w.read("daily_bar")).collect()}
+    got = sync.sync(spark, w, years=2, as_of=date(2023, 4, 21))
+    new = [r[0] for r in w.read("daily_bar", "20230401").select("trade_date").distinct().orderBy("trade_date").collect()]
+    assert got["status"] == "updated" and got["new_bars"] == 60 * len(new) and len(new) == 15
+    for r in w.read("daily_bar", new[0], new[0]).collect():  # goes on from the last state
+        if was := last.get(r["ts_code"]):  # others were listed since
+            assert r["pre_close"] == round(was["close"], 2) and r["adj_factor"] == was["adj_factor"]
+    now = {r[0] for r in w.read("factor_metrics", "20230401").select("trade_date").distinct().collect()}
+    assert now == set(new[::5]) | {new[-1]} and got["new_factor_dates"] == len(now)
+
+    rows = w.read("factor_metrics").count()
+    got = sync.sync(spark, w, years=2.2, as_of=date(2023, 4, 21), factors=False)  # the head only
+    assert got["status"] == "updated" and got["new_factor_dates"] == 0 and w.read("factor_metrics").count() == rows
+    assert w.read("daily_bar").agg(F.min("trade_date")).first()[0] < "20210331"
+
+    got = sync.sync(spark, w, years=2, as_of=date(2023, 4, 27), factors=False)  # factors lag and are caught up all the same
+    assert got["new_factor_dates"] == 4 and w.read("factor_metrics").agg(F.max("trade_date")).first()[0] == "20230427"
+
+
+def test_populate_equals_all_dates_at_once(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "w"))
+    sync.sample_load(spark, w, 40, "20230102", "20230428")
+    dates = spark.createDataFrame([("20230315",), ("20230417",)], "trade_date string")
+    n = sync.populate(w, dates)
+    every = features.factor_metrics(w.read("daily_bar"), w.read("stock_basic"), w.read("financial_pit")).join(dates, "trade_date")
+    want = {(r["trade_date"], r["ts_code"], r["factor_name"]): (r["raw_val"], r["clean_val"]) for r in every.collect()}
+    got = {(r["trade_date"], r["ts_code"], r["factor_name"]): (r["raw_val"], r["clean_val"]) for r in w.read("factor_metrics").collect()}
+    assert n == len(want) == len(got) and got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-9) for k in want)
+
+
+def test_landed_load_and_command_line(spark, tmp_path):
+    listed = [(i, str(600 + i) if i % 2 else f"68800{i}", f"Name{i}", "上海证券交易所") for i in range(1, 7)]
+    landed_at = tmp_path / "landed"
+    (landed_at / "bars").mkdir(parents=True)
+    (landed_at / "constituents.json").write_text("\n".join(json.dumps({"at": a, "code": c, "name": n, "exchange": e}) for a, c, n, e in listed))
+    days = [r[0] for r in calendar.weekdays(spark, "20230102", "20230331").collect()]
+    for _, code, _, _ in listed[:4]:
+        ts = f"{code.zfill(6)}.SH"
+        for part, some in ((1, days[:40]), (2, days[35:])):
+            rows = [[f"{d[:4]}-{d[4:6]}-{d[6:]}", "10.0", str(10 + part), "12", "9", "5", {"note": 1}] for d in some]
+            (landed_at / "bars" / f"{ts}_{part}.json").write_text(json.dumps({"code": 0, "data": {"sh" + code.zfill(6): {"hfqday": rows, "qt": {}}}}))
+    (landed_at / "bars" / "000603.SH_3.json").write_text("no json")
+    out = main(["--landed", str(landed_at), "--stocks", "4", "--db", str(tmp_path / "db")], spark)
+    assert out["rows"]["stock_basic"] == 4 and out["rows"]["daily_bar"] == 4 * len(days)
+    w = Warehouse(spark, str(tmp_path / "db"))
+    b = {r["trade_date"]: r for r in w.read("daily_bar").filter("ts_code = '000601.SH'").collect()}
+    assert (b[days[0]]["pre_close"], b[days[0]]["close"], b[days[0]]["amount"]) == (10.0, 11.0, 5250.0)
+    assert (b[days[39]]["close"], b[days[40]]["close"], b[days[41]]["pre_close"]) == (11.0, 12.0, 12.0)  # the first answer's row wins
+    assert {r["market_board"] for r in w.read("stock_basic").collect()} == {"Main", "STAR"}
+    assert main(["--status", "--db", str(tmp_path / "db")], spark)["rows"] == out["rows"]
+
+
+def test_synthetic_bars(spark):
+    stocks = synthetic.universe(spark, 50)
+    assert stocks.groupBy("market_board").count().count() == 3 and stocks.filter("is_st = 1").count() == 2
+    rows = [tuple(r) for r in synthetic.bars(stocks, calendar.weekdays(spark, "20240101", "20251231")).collect()]
+    assert rows == [tuple(r) for r in synthetic.bars(stocks, calendar.weekdays(spark, "20240101", "20251231")).collect()]
+    df = pd.DataFrame(rows, columns=SCHEMAS["daily_bar"].names)
+    assert (df.high >= df[["open", "close", "low"]].max(axis=1) - 1e-9).all() and (df.low <= df[["open", "close"]].min(axis=1) + 1e-9).all()
+    assert (df.amount - (df.vol * (df.open + df.close) / 2 * 100).round(2)).abs().max() < 1 and (df.adj_close - df.close * df.adj_factor).abs().max() < 1e-4
+    first = df.sort_values("trade_date").groupby("ts_code").adj_factor
+    assert (first.first() == 1).all() and (first.last() > 1).all() and 0.005 < (df.vol == 0).mean() < 0.03
+    rep = synthetic.disclosures(stocks, 2020, 2021)
+    assert rep.count() == 50 * 8 and rep.filter("ann_date <= end_date").count() == 0
+
+
+def test_scraped_pages(spark):
+    t = lambda *cells: "<table>" + "".join(f"<td class=x>{c}</td>" for c in cells) + "</table>"
+    pages = [t("a", "b"), t("所属行业板块", " "), t("所属行业板块", "", "<b> 白酒 </b>", "z"), t("所属行业板块") + t("所属行业板块", "电池"), "", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    assert [r[0] for r in df.orderBy("i").select(industries.scraped(F.col("html"))).collect()] == [None, None, "白酒", "电池", None, None]
+
+
+def test_available_factors(spark):
+    none = spark.createDataFrame([], SCHEMAS["factor_metrics"])
+    names, dates = report.available(none)
+    assert {r[0] for r in names.collect()} == set(features.NAMES) and dates.count() == 0
+    names, dates = report.available(spark.createDataFrame([("20240102", "a", "X", 1.0, 1.0)], SCHEMAS["factor_metrics"]))
+    assert [r[0] for r in names.collect()] == ["X"] and dates.count() == 1
+
+
+def test_quantise_is_half_even(spark):
+    df = spark.createDataFrame([(0.125,), (0.375,), (-0.125,), (1e300,), (2.5e50,)], "x double")
+    assert [r[0] for r in df.select(scalars.quantise(F.col("x"), 2)).collect()] == [0.12, 0.38, -0.12, 1e300, 2.5e50]
 
 
 def test_metrics_and_report(spark):
@@ -150,6 +302,8 @@ def test_metrics_and_report(spark):
     page = report.html_report(backtest.metrics(navs, turns, ls, 126), "MOM")
     assert "<td>21.0</td>" in page and "base64," in report.data_link(page)
     assert backtest.monotonicity(navs).first()[0] == 1.0
+    table = report.metrics_table(backtest.metrics(navs, turns, ls, 126))
+    assert [r[0] for r in table.collect()] == ["Group_1", "Group_2", "Long_Short"] and "Sharpe" in table.columns
 
 
 def test_ic_decay_fills_missing_lags(spark):
