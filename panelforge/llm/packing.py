@@ -17,17 +17,21 @@ together; a text is first cut at the tokenizer's added tokens, as the library do
 before come from a cache of bounded size. ``tests/llm`` holds this against the library's encoding
 of whole texts.
 
-Defined results: null and empty texts hold only the closing id 0. Repeated rows are packed one by
-one. Ids within a document are neither dropped nor repeated.
+Defined results: null and empty texts hold only the closing id 0; whole texts count, however long. An
+empty table gives no pieces. Repeated rows, and rows that share an id or have none, are packed one by
+one; equal lengths lie in the order of id, start and checksum. Only doc_id and text are read, so other
+columns may have any name. Ids within a document are neither dropped nor repeated.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +59,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: A space that is not alone between two non-blank characters: there the words can't be taken apart.
-_ODD_SPACE = re.compile(r"\s |^ | $| \s")
+class OddSpaceError(ValueError):
+    """A space that is not alone between two non-blank characters: there words can't be taken apart."""
 
 
 def _byte_letters() -> dict[int, str]:
@@ -85,6 +89,8 @@ class Encoder(dict):
         self.model = self.tok.model
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.space = " ".translate(self.letters)
+        self.bytes = [struct.pack("<I", i) for i in range(self.tok.get_vocab_size())]
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
@@ -94,8 +100,7 @@ class Encoder(dict):
 
     def piece(self, s: str) -> bytes:
         """A piece of the tokenizer's own cutting goes through its merges."""
-        ids = [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.bytes[t.id] for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))])
 
     def mark(self, s: str) -> bytes:
         """A short piece without a space: mostly punctuation."""
@@ -111,13 +116,21 @@ class Encoder(dict):
         parts = self.pieces(s)
         if len(parts) == 1:
             return self.piece(s)
-        return b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 else self.mark(p) for p in parts])
+        return b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 and not p[1].isspace() else self.mark(p) for p in parts])
+
+    def letters_only(self, word: str) -> bytes:
+        """A word of letters and the space before it are one piece; ASCII letters stand for themselves."""
+        if word.isascii():
+            return b"".join([self.bytes[t.id] for t in self.model.tokenize(self.space + word)])
+        return self.piece(" " + word)
 
     def __missing__(self, word: str) -> bytes:
         found, keep = self.old.get(word), True
         if found is None:
             if word.isalpha():
-                found = self.piece(" " + word)
+                found = self.letters_only(word)
+            elif not word or word[0].isspace() or word[-1].isspace():
+                raise OddSpaceError
             else:
                 n = len(self)
                 found = self.run(" " + word)
@@ -136,16 +149,22 @@ class Encoder(dict):
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        """A text without added tokens."""
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            parts = _split_odd(text)
-            return b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 and not p[1].isspace() else self.run(p) for p in parts])
-        first, _, rest = text.partition(" ")
-        if not rest:
-            return self.run(first)
-        return self.run(first) + b"".join(map(self.__getitem__, rest.split(" ")))
+        """A text without added tokens. The cache holds no blank words and none that begin or end with
+        white space, so a text whose words are all found in it has single spaces only."""
+        first, *rest = text.split(" ")
+        if first and not first[-1].isspace():
+            try:
+                return self.run(first) + b"".join(map(self.__getitem__, rest))
+            except OddSpaceError:
+                pass
+        parts = _split_odd(text)
+        return b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() else self.run(p) for p in parts if p])
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """A worker's own, for all the tasks that it runs."""
+    return Encoder(path)
 
 
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -163,7 +182,7 @@ def _cut(path: str, capacity: int, grain: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        enc, chunk = Encoder(path), TaskContext.get().partitionId()
+        enc, chunk = encoder(path), TaskContext.get().partitionId()
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         seen: Counter = Counter()
         for b in batches:
@@ -229,6 +248,8 @@ def column_generation(demand: dict[int, int], capacity: int, max_rounds: int = M
         value, new = knapsack(prices, capacity)
         if value <= 1 + 1e-7:
             break
+        if i == max_rounds - 1:
+            logging.getLogger(__name__).warning("column generation ended after %d rounds, %.2g from optimal", max_rounds, value - 1)
         column = np.zeros(m)
         for c, k in new.items():
             column[row[c]] = k
