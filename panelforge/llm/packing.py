@@ -116,7 +116,7 @@ class Encoder(dict):
         parts = self.pieces(s)
         if len(parts) == 1:
             return self.piece(s)
-        return b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 and not p[1].isspace() else self.mark(p) for p in parts])
+        return b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() else self.mark(p) for p in parts])
 
     def letters_only(self, word: str) -> bytes:
         """A word of letters and the space before it are one piece; ASCII letters stand for themselves."""

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,9 +302,11 @@ def test_encoder_is_exact():
     e = packing.Encoder(packing.tokenizer_path())
     rng = random.Random(6)
     bits = ["a", "Bc", " ", "  ", "\n", "'s", "'", "é", "1", ".", "!!", "\t", "\u00a0", "<|endoftext|>", "日本", "\x1f", "🙂", "don't", "word,"]
-    for _ in range(3000):
+    for _ in range(20000):
         s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 15)))
         assert e(s) == e.whole(s), repr(s)
+    for r in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist():
+        assert e(r or "") == e.whole(r or "")
 
 
 def test_encoder_keeps_the_library_defaults():
