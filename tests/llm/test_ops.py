@@ -168,7 +168,7 @@ def test_topk_brute_force(spark):
     v[300:340] = v[0]
     rows = [(i, [float(x) for x in v[i]]) for i in range(900)] + [(1000, None), (1100, [1.0, None] + [0.0] * 10), (1200, [float("nan")] * 12), (1300, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    q = topk.quantised(df)
+    q = topk.materialize(topk.quantised(df).filter("vec_id <> 1300").withColumn("row", F.monotonically_increasing_id()), "rows")
     got = topk.top_k(q, q.filter("vec_id % 100 = 0"), block=128, query_block=4).collect()
     z = np.floor(1024 * v.astype(float)).astype(np.int64)
     for qid in range(0, 900, 100):
@@ -178,6 +178,21 @@ def test_topk_brute_force(spark):
     assert len(got) == 90 and topk.topk_query(df.limit(0)).count() == 0
 
 
+def test_topk_shared_ids_and_empty_vectors(spark):
+    rows = [(100, [2.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 1.0]), (2, []), (200, []), (1, [1.0, 1.0]), (None, [9.0, 9.0]), (3, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"row": F.lit(7), "norm": F.lit("x"), "block": F.lit(0)})
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.topk_query(df).collect())
+    live = [(i, [*map(int, v or [0, 0])]) for i, v in rows if i is not None and v is not None]
+    want = Counter()
+    for a, (i, q) in enumerate(live):
+        if i % 100 == 0:
+            best = sorted((-(q[0] * c[0] + q[1] * c[1]) * 1024**2, j) for b, (j, c) in enumerate(live) if a != b)
+            want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(best))
+    assert got == want and sum(got.values()) == 15
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.topk_query(spark.createDataFrame([(100, [1e8] * 4), (1, [1e8] * 4)], "vec_id long, embedding array<double>")).collect()
+
+
 # --- 4 ---
 
 
