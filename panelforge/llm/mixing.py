@@ -7,14 +7,17 @@ through the null space of two constraints per source, words and documents, so bo
 their expected value until at most two documents are undecided; these are landed by choosing the
 combination nearest the word target.
 
-A source is flown in chunks of bounded size, spread by a hash of the document: a source with a
-third of all rows is many tasks. Each chunk leaves at most two undecided documents, which are flown
+A source is flown in chunks of bounded size, spread by a hash of the document (id, size, text) and
+of its number among rows equal in these: a source with a third of all rows is many tasks, and so are
+rows without an id or with one id. Equal rows are counted before they are numbered. Each chunk leaves at most two undecided documents, which are flown
 together at the next level, so the levels grow with the logarithm of the rows. Only (id, source,
 size) rows are shuffled, never texts. All choices are seeded by the data, so reruns agree.
 
 Defined results: null and blank texts have size 0 and are taken as 0 words; a null source is a
 source of its own, ranked last; repeated rows are separate units; with no words at all, targets are
-0. Rows whose id is null are units as well.
+0. Rows whose id is null are units as well. Long texts count whole; an empty table gives an empty one.
+Only doc_id, source and text are read, so other columns may have any name. Rows equal in id, source
+and text are alike to the mix; which of them is taken more often is left open.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, n_words, with_rank
@@ -35,7 +38,9 @@ CHUNK = 4096
 SEED = "mix-1"
 _EPS = 1e-9
 
-UNIT = "uid long, source string, size long, rate double, copies long, pi double, doc_key long"
+UNIT = "uid long, source string, size long, body long, rate double, copies long, pi double, doc_key long"
+#: Equal rows are numbered in runs of this many.
+RUN = 65_536
 
 
 def targets(units: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -101,20 +106,20 @@ def _flight(last: bool):
         if last:
             _land(rows)
         g["pi"] = [x[1] for x in rows]
-        return g[["uid", "source", "size", "rate", "copies", "pi", "doc_key"]]
+        return g[["uid", "source", "size", "body", "rate", "copies", "pi", "doc_key"]]
 
     return run
 
 
 def decide(units: DataFrame, t: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """units: uid, source, size. Returns them with source_size, target and copies (how often the mix
-    takes each)."""
+    """units: uid, source, size, body (a hash of the text) and number among equal ones. Returns uid,
+    source, size, body and copies (how often the mix takes each)."""
     u = units.alias("u").join(t.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    u = u.select("uid", F.col("u.source").alias("source"), "size", rate.alias("rate"), "n_docs")
+    u = u.select("uid", F.col("u.source").alias("source"), "size", "body", "number", rate.alias("rate"), "n_docs")
     whole = F.floor(F.col("rate") + 1e-12)
     u = u.withColumn("copies", whole.cast("long")).withColumn("pi", F.greatest(F.lit(0.0), F.col("rate") - whole))
-    u = u.withColumn("doc_key", F.xxhash64(F.lit(SEED), "uid", "size"))
+    u = u.withColumn("doc_key", F.xxhash64(F.lit(SEED), "uid", "size", "body", "number")).drop("number")
     live, done, level, most = u, [], 0, t.agg(F.max("n_docs")).first()[0] or 0
     while True:
         last = most <= chunk
@@ -132,11 +137,17 @@ def decide(units: DataFrame, t: DataFrame, chunk: int = CHUNK) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("uid", "source", "size", (F.col("copies") + F.col("pi").cast("long")).alias("copies"))
+    return out.select("uid", "source", "size", "body", (F.col("copies") + F.col("pi").cast("long")).alias("copies"))
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    return materialize(docs.select(F.col("doc_id").alias("uid"), "source", n_words(F.col("text")).alias("size")), "mix_units")
+    """uid, source, size, body and number, one row per document. Equal documents are counted first and
+    numbered by run, so the numbers don't depend on where rows lie and no task gathers a group."""
+    u = docs.select(F.col("doc_id").cast("long").alias("uid"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("body"))
+    u = u.groupBy("uid", "source", "size", "body").agg(F.count("*").alias("equal"))
+    u = u.withColumn("run", F.explode(F.expr(f"sequence(0L, (equal - 1) div {RUN})")))
+    u = u.withColumn("number", F.explode(F.expr(f"sequence(run * {RUN}, least(equal, (run + 1) * {RUN}) - 1)")))
+    return materialize(u.select("uid", "source", "size", "body", "number"), "mix_units")
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
@@ -147,15 +158,20 @@ def mixing_query(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with all their columns. Rows that
-    share an id get the copies decided for them in turn."""
-    from pyspark.sql import Window as W
-
+    """The documents of the mix, each as often as it is taken, with all their columns. Of rows equal
+    in id, source and text, as many get each number of copies as were decided for them: only such
+    rows are numbered, and what is kept of a group is a count for each number of copies."""
     u = measure(docs)
-    d = decide(u, targets(u)).groupBy("uid").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"), F.first("source").alias("_src"))
-    j = docs.join(d.withColumnRenamed("uid", "_uid"), F.col("doc_id").eqNullSafe(F.col("_uid")))
-    one = j.filter(F.size("_copies") == 1).withColumn("_k", F.col("_copies")[0])
-    many = j.filter(F.size("_copies") > 1).withColumn("_rn", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("source", "text"))))
-    many = many.withColumn("_k", F.element_at("_copies", F.col("_rn"))).drop("_rn")
+    key = ["uid", "source", "body"]
+    by = decide(u, targets(u)).groupBy(*key, "copies").agg(F.count("*").alias("times"))
+    d = by.groupBy(*key).agg(F.sum("times").alias("_times"), F.sort_array(F.collect_list(F.struct("copies", "times")), asc=False).alias("_copies"))
+    d = d.select("_times", "_copies", *[F.col(k).alias(f"_{k}") for k in key])
+    j = docs.withColumn("_hash", F.xxhash64("text"))
+    j = j.join(d, F.col("doc_id").cast("long").eqNullSafe(F.col("_uid")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_body")))
+    one = j.filter("_times = 1").withColumn("_k", F.expr("_copies[0].copies"))
+    many = j.filter("_times > 1").withColumn("_rn", F.row_number().over(Window.partitionBy("_uid", "_source", "_body").orderBy("_body")))
+    # copies in descending order: a row takes those of the first entry whose running count reaches its number
+    upto = "aggregate(_copies, struct(0L as n, cast(null as bigint) as k), (a, x) -> struct(a.n + x.times as n, coalesce(a.k, if(a.n + x.times >= _rn, x.copies, null)) as k), a -> a.k)"
+    many = many.withColumn("_k", F.expr(upto)).drop("_rn")
     out = one.unionByName(many).filter("_k > 0")
     return out.withColumn("_i", F.explode(F.expr("sequence(1L, _k)"))).select(*[F.col(f"`{c}`") for c in docs.columns])

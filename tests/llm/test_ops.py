@@ -503,6 +503,23 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(df).columns == df.columns and mixing.mix(odd).columns == odd.columns
 
 
+def test_mixing_spreads_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 50)
+    rows = [(None, "a b c", "s")] * 700 + [(None, f"x y z{i}", "s") for i in range(300)] + [(5, "one two", "t")] * 200 + [(5, f"other {i}", "t") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    u = mixing.measure(df)
+    assert u.count() == len(rows) and u.distinct().count() == len(rows)
+    got = Counter(tuple(r) for r in mixing.mixing_query(df).select("doc_id", "source", "size", "taken").collect())
+    assert got == Counter(tuple(r) for r in mixing.mixing_query(df.repartition(3)).select("doc_id", "source", "size", "taken").collect())
+    taken = Counter()
+    for (_, s, _, n), times in got.items():
+        taken[s] += n * times
+    for s, t in _targets({"s": 3000, "t": 500}).items():
+        assert abs(taken[s] - t) <= 6
+    mixed = Counter(tuple(r) for r in mixing.mix(df).collect())
+    assert {s: sum(n * len(k[1].split()) for k, n in mixed.items() if k[2] == s) for s in "st"} == dict(taken) and set(mixed) <= set(rows)
+
+
 def test_flight_keeps_totals():
     rng = random.Random(10)
     rows = [[rng.randint(1, 500), 0.3] for _ in range(2000)]
