@@ -5,8 +5,10 @@ removed; a document that loses too much of its text is rejected. Document-level
 symbols, length) are computed beside it. No Python, Arrow or RDD code, and no shuffle: one scan.
 
 Defined results: a null, empty or blank text has no words, zero counts, fails the base rule and is
-not kept. Repeated rows are judged one by one. Extra columns are carried untouched by
-``clean_lines``; helper columns start with ``_q`` and are dropped again.
+not kept; texts count whole, however long, and an empty table gives an empty one. Repeated rows are
+judged one by one. Extra columns are carried untouched by ``clean_lines``, unless one has the name of
+an output, which then takes its place: give ``prefix`` where inputs may have such names. Helper
+columns start with ``_q`` and are dropped again.
 """
 
 from __future__ import annotations
@@ -78,31 +80,33 @@ def _repeat_words(w: str) -> list[dict[str, str]]:
     ]
 
 
-def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+def clean_lines(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT, prefix: str = "") -> DataFrame:
     """Adds ``clean_text`` (the lines that passed) and the counts and verdicts:
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed, kept."""
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, base_failed, kept, their
+    names begun with prefix."""
+    p = prefix
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_qw", words(F.col(text))).withColumn("_ql", F.split(t, "\n", -1))
     df = df.withColumn("_qok", F.expr(f"filter(_ql, l -> {line_verdicts()})"))
     for step in _repeat_words("_qw"):
         df = df.withColumns({k: F.expr(v) for k, v in step.items()})
     df = df.withColumns({
-        "n_words": F.size("_qw").cast("long"),
-        "word_chars": F.length(F.array_join("_qw", "")).cast("long"),
-        "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
+        p + "n_words": F.size("_qw").cast("long"),
+        p + "word_chars": F.length(F.array_join("_qw", "")).cast("long"),
+        p + "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
         "_qbody": F.filter("_ql", lambda x: F.rlike(x, F.lit(NON_WS))),
-        "n_repeat_words": F.col("_qrep"),
-        "clean_text": F.array_join("_qok", "\n"),
+        p + "n_repeat_words": F.col("_qrep"),
+        p + "clean_text": F.array_join("_qok", "\n"),
     })
     df = df.withColumns({
-        "n_dup_lines": (F.size("_qbody") - F.size(F.array_distinct("_qbody"))).cast("long"),
-        "lost_chars": F.col("word_chars") - F.length(F.regexp_replace("clean_text", WS + "+", "")),
-        "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
+        p + "n_dup_lines": (F.size("_qbody") - F.size(F.array_distinct("_qbody"))).cast("long"),
+        p + "lost_chars": F.col(p + "word_chars") - F.length(F.regexp_replace(p + "clean_text", WS + "+", "")),
+        p + "base_failed": (F.col(p + "n_words") < 50) | (100 * F.col(p + "n_repeat_words") > 50 * F.col(p + "n_words")),
     })
     # The row number, never negative, keeps the optimizer from moving a later filter below these
     # steps, which would write each step's expression out in every use of it.
     fence = F.monotonically_increasing_id() >= 0
-    df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_percent * F.col("word_chars")) & fence)
+    df = df.withColumn(p + "kept", ~F.col(p + "base_failed") & (100 * F.col(p + "lost_chars") <= max_lost_percent * F.col(p + "word_chars")) & fence)
     return df.drop("_qw", "_ql", "_qok", "_qh", "_qp", "_qbad", "_qs", "_qpos", "_qrep", "_qbody")
 
 
