@@ -5,14 +5,16 @@ canonical form, so one entity has one surrogate in the whole corpus, whatever it
 and hex secrets go through a keyed Feistel permutation of all strings of their length, which cannot
 collide; card numbers walk on until their check digit is right if the original's was (wrong if it
 was wrong). E-mail addresses, names and other secrets are drawn with a keyed generator: same script,
-gender, capitals, separators and number of digits.
+gender, capitals, separators and number of digits. Names and letters redrawn are longer by two syllables
+or letters each time, so a few rounds are enough whatever the corpus.
 
 Distinctness is checked over all entities of the corpus: a surrogate equal to another's, or to any
 original, is drawn again until none is left. Redrawn ones are exceptions, looked up by a join;
 everything else needs no lookup, so texts are not shuffled where there are none.
 
 Defined results: null texts stay null, texts without entities stay as they are, byte for byte.
-Repeated rows get the same surrogates. Rows with a null id, and rows that share an id, are rewritten
+Texts count whole, however long; an empty table gives an empty one. Other columns may have any name
+but ``_pii_n``. Repeated rows get the same surrogates. Rows with a null id, and rows that share an id, are rewritten
 like any others.
 """
 
@@ -233,6 +235,14 @@ def _draw(key: bytes, template: str, *parts: object) -> str:
     return "".join(out)
 
 
+def _syllables(n: int, script: str, count: int) -> str:
+    syl, out = SYLLABLES[script], ""
+    for _ in range(count):
+        n, v = divmod(n, len(syl))
+        out += syl[v]
+    return out
+
+
 @lru_cache(100_000)
 def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The canonical surrogate of an entity."""
@@ -261,9 +271,9 @@ def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         tail = re.search(r"\d*$", local)[0]
-        letters = _draw(key, "x" * (8 + attempt), "email", canon, attempt)
-        n = _number(key, "domain", domain) % 300
-        return f"{letters}{'.' if '.' in local or tail else ''}{_draw(key, tail, 'tail', canon, attempt)}@mail{n // 3}.example.{('com', 'net', 'org')[n % 3]}"
+        letters = _draw(key, "x" * (8 + 2 * attempt), "email", canon, attempt)
+        place = _draw(key, "x" * 12, "domain", domain)  # one for all addresses of a domain
+        return f"{letters}{'.' if '.' in local or tail else ''}{_draw(key, tail, 'tail', canon, attempt)}@{place}.example.{('com', 'net', 'org')[_number(key, 'top', domain) % 3]}"
     if kind == "iban":
         body = _draw(key, canon[4:], "iban", canon, attempt)
         check = 98 - int("".join(str(int(c, 36)) for c in body + canon[:2] + "00")) % 97
@@ -272,17 +282,12 @@ def surrogate(kind: str, canon: str, attempt: int = 0, key: bytes = KEY) -> str:
         _, script, gender = kind.split("/")
         pool = NAMES[script, gender or "m"]
         n = _number(key, kind, canon, attempt)
-        if attempt < 3:
-            return pool[n % len(pool)].casefold()
-        return (pool[n % len(pool)] + "-" + pool[n // 997 % len(pool)]).casefold() if attempt < 6 else (pool[n % len(pool)] + SYLLABLES[script][n // 31 % len(SYLLABLES[script])] * (attempt // 6)).casefold()
+        second = _syllables(n // len(pool), script, 2 + 2 * attempt) if attempt else ""
+        return (pool[n % len(pool)] + ("-" if second else "") + second).casefold()
     if kind.startswith("surname/"):
         script = kind.split("/")[1]
-        syl, end = SYLLABLES[script], SURNAME_END[script]
-        n, out = _number(key, kind, canon, attempt), ""
-        for _ in range(3 + attempt // 4):
-            n, v = divmod(n, len(syl))
-            out += syl[v]
-        return out + end[n % len(end)]
+        end, n = SURNAME_END[script], _number(key, kind, canon, attempt)
+        return _syllables(n // len(end), script, 3 + 2 * attempt) + end[n % len(end)]
     prefix = re.match(r"AKIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ|", canon)[0]
     return prefix + _draw(key, canon[len(prefix) :], "secret", canon, attempt)
 
@@ -332,8 +337,8 @@ def _assign(key: bytes):
 
 def exceptions(mentions: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, canon, new of every entity whose first surrogate was another's or an original's.
-    Names of a small pool may share a surrogate's given name once every name of it is in use; their
-    surrogates then grow longer until all differ."""
+    The given names of the pool go to one name each; further names get one of the pool with a second
+    name of syllables, longer with every attempt."""
     schema = "kind string, canon string, attempt int, new string"
     everyone = materialize(mentions.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)).mapInArrow(_assign(key), schema), "pii_entities")
     now, i = everyone, 0

@@ -257,6 +257,24 @@ def test_collisions_are_redrawn(spark):
     assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
 
 
+def test_many_names_and_domains_stay_distinct(spark):
+    rng = random.Random(6)
+    names = sorted({"".join(rng.choices("abcdefghij", k=7)).capitalize() for _ in range(5000)})
+    df = spark.createDataFrame([(None, "given/latin/m", x.casefold()) for x in names], "doc_id long, kind string, canon string")
+    rounds = []
+    real = pii.materialize
+    try:
+        pii.materialize = lambda d, name, *a: rounds.append(name) or real(d, name, *a)
+        exc = {r["canon"]: r["new"] for r in pii.exceptions(df).collect()}
+    finally:
+        pii.materialize = real
+    new = [exc.get(x.casefold()) or pii.surrogate("given/latin/m", x.casefold()) for x in names]
+    assert len(set(new)) == len(names) and sum("round" in r for r in rounds) <= 3
+    mails = [pii.surrogate("email", f"a@site{i}.com") for i in range(5000)]
+    assert len({m.split("@")[1] for m in mails}) == 5000
+    assert pii.surrogate("email", "b@site7.com").split("@")[1] == mails[7].split("@")[1]
+
+
 # --- 5 ---
 
 
@@ -278,7 +296,11 @@ def test_line_rules(spark, odd, empty):
     got = {r["doc_id"]: r for r in line_rules.clean_lines(rows).collect()}
     assert got[1]["kept"] and got[1]["clean_text"] == prose and not got[2]["kept"] and not got[3]["kept"]
     assert [r["kept"] for r in line_rules.clean_lines(odd).collect()] == [False] * len(ODD)
-    assert line_rules.clean_lines(odd).columns[: len(odd.columns)] == odd.columns and line_rules.quality_query(empty).count() == 0
+    assert line_rules.clean_lines(odd).columns[: len(odd.columns)] == odd.columns
+    clash = rows.withColumns({c: F.lit(f"mine {c}") for c in ("kept", "n_words", "clean_text", "lost_chars", "base_failed")})
+    same = {r["doc_id"]: r for r in line_rules.clean_lines(clash, prefix="_r_").collect()}
+    assert all(same[i]["_r_kept"] == got[i]["kept"] and same[i]["_r_clean_text"] == got[i]["clean_text"] and same[i]["kept"] == "mine kept" for i in got)
+    assert line_rules.quality_query(empty).count() == 0
 
 
 def test_repeat_count_survives_hash_collisions(spark, monkeypatch):
