@@ -11,29 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import jaccard_join, line_rules, mixing, packing, pii
-from panelforge.llm.common import materialize, table
+from panelforge.llm.common import materialize, table, words
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, without their failing lines. Documents that lose no line
-    stay as they are."""
-    out = line_rules.clean_lines(docs).filter("kept")
-    changed = F.col("lost_chars") > 0
-    new = {"text": F.when(changed, F.col("clean_text")).otherwise(F.col("text"))}
+    stay as they are. Null, empty and blank texts are rejected; repeated rows are judged one by one."""
+    out = line_rules.clean_lines(docs, prefix="_r_").filter("_r_kept")
+    changed = F.col("_r_lost_chars") > 0
+    new = {"text": F.when(changed, F.col("_r_clean_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(changed, F.length("_r_clean_text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumns(new).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; of rows that share that id, one. Rows
-    without an id can't be told apart and stay. Texts are shuffled once, by id."""
-    keep = jaccard_join.near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each component. Of rows that share that id, one of each
+    word sequence stays: texts that differ are no copies of each other because of an id. Rows without
+    an id can't be told apart and stay. Texts are shuffled once, by id; word sequences are compared
+    where an id has several rows only."""
+    keep = jaccard_join.near_duplicates(docs).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows"))
+    same = F.md5(F.array_join(words(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), " ").cast("binary"))
+    out = docs.join(keep, F.col("doc_id") == F.col("_keep")).withColumn("_same", F.when(F.col("_rows") > 1, same))
+    out = out.dropDuplicates(["_keep", "_same"]).select(*docs.columns)
     return out.unionByName(docs.filter("doc_id is null"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities replaced; null texts and texts without entities stay as they are."""
     out = pii.surrogates(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_pii_n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -41,10 +46,12 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; repeated rows and rows without an id are units too."""
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences; a null or empty text is its end mark alone."""
     return packing.pack(docs)
 
 
