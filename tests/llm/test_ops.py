@@ -599,3 +599,31 @@ def test_pipeline_stages(spark, empty):
         docs = spark.createDataFrame(rows, out.schema)
     for name, f in cp.STAGES:
         assert f(spark, empty, "").count() == 0
+
+
+def test_pipeline_stages_on_odd_input(spark, odd):
+    import corpus_pipeline as cp
+
+    rng = random.Random(15)
+    long = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(80)) + "." for _ in range(4)]
+    more = [(7, long[0], "en", "a", 9), (7, long[1], "en", "a", 9), (7, long[0].upper(), "en", "a", 9), (8, long[1] + " end", "en", "b", 9), (None, long[2], None, None, None), (None, long[2], None, None, None)]
+    names = ("kept", "n_words", "clean_text", "lost_chars", "copies", "frag", "canon", "target")
+    docs = odd.unionByName(spark.createDataFrame(more, DOCS).withColumns({"n": F.lit(1), "d": F.lit("x"), "level": F.lit(2), "size": F.lit(3), "rank": F.lit(0)}))
+    docs = docs.withColumns({c: F.lit(f"mine {c}") for c in names})
+    for name, f in cp.STAGES:
+        out = f(spark, docs, "")
+        rows = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns and all(r[c] == f"mine {c}" for r in rows for c in names)
+        if name == "quality_rules":
+            assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in rows) == sorted((x[0] or 0, x[1].lower()) for x in more)
+        elif name == "ngram_jaccard_join":
+            got = Counter((r["doc_id"], (r["text"] or "").lower()) for r in rows)
+            assert got[7, long[0].lower()] == 1 and got[7, long[1].lower()] == 1 and got[None, long[2].lower()] == 2
+            assert not any(i == 8 for i, _ in got) and got[4, "one"] == 1
+        elif name == "pii":
+            assert Counter(r["text"] for r in rows) == Counter(r["text"] for r in docs.collect())
+        elif name == "mixing":
+            assert {(r["doc_id"], r["text"]) for r in rows} <= {(r["doc_id"], r["text"]) for r in docs.collect()}
+        elif name == "packing":
+            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.select("doc_id").collect()}
