@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.industries import OTHER
-from ..functions.scalars import market_value
+from ..functions.scalars import market_value, ratio
 from . import calendar, pit
 from .xsection import clean
 
@@ -26,20 +26,21 @@ def _std_of_last(w: Window, most: int = 20, least: int = 15) -> F.Column:
 
 def price_features(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     """ts_code, trade_date, close, total_mv, n_bars, daily_ret, mom_20, rev_5, vol_20. The lookback
-    counts calendar dates; lags count the stock's own bars within it."""
+    counts calendar dates; lags count the stock's own bars within it. A price of zero gives the next
+    ones infinite returns (zero after zero: NaN), which stay."""
     cal = F.broadcast(calendar.index(bars).select("trade_date", "idx"))
     b = bars.select("ts_code", "trade_date", "close", "adj_close").join(cal, "trade_date")
     w = Window.partitionBy("ts_code").orderBy("idx")
     near = w.rangeBetween(-(lookback - 1), 0)
     b = b.withColumns({
         "n_bars": F.count("*").over(near),
-        "daily_ret": F.try_divide(F.col("adj_close"), F.lag("adj_close").over(w)) - 1,
-        "_m": F.lag("adj_close", 19).over(w), "_r": F.lag("adj_close", 4).over(w),
-    }).withColumn("_v", _std_of_last(w))
+        "_d": F.lag("adj_close").over(w), "_m": F.lag("adj_close", 19).over(w), "_r": F.lag("adj_close", 4).over(w),
+    })
+    b = b.withColumn("daily_ret", ratio(F.col("adj_close"), F.col("_d")) - 1).withColumn("_v", _std_of_last(w))
     return b.select(
         "ts_code", "trade_date", "close", market_value(F.col("close"), F.col("ts_code")).alias("total_mv"), "n_bars", "daily_ret",
-        F.when(F.col("n_bars") >= 20, F.try_divide(F.col("adj_close"), F.col("_m")) - 1).alias("mom_20"),
-        F.when(F.col("n_bars") >= 5, F.try_divide(F.col("adj_close"), F.col("_r")) - 1).alias("rev_5"),
+        F.when(F.col("n_bars") >= 20, ratio(F.col("adj_close"), F.col("_m")) - 1).alias("mom_20"),
+        F.when(F.col("n_bars") >= 5, ratio(F.col("adj_close"), F.col("_r")) - 1).alias("rev_5"),
         F.col("_v").alias("vol_20"),
     )
 

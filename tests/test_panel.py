@@ -2,13 +2,15 @@
 
 import json
 import math
-from datetime import date
+from datetime import date, datetime
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge import catalog
 from panelforge.__main__ import main
 from panelforge.functions import industries, scalars
 from panelforge.operators import backtest, calendar, features, ic, mask, pit, xsection
@@ -306,6 +308,25 @@ def test_metrics_and_report(spark):
     assert [r[0] for r in table.collect()] == ["Group_1", "Group_2", "Long_Short"] and "Sharpe" in table.columns
 
 
+def _and_sql(spark, path, name, prices):
+    """Sorted rows of a query and of its SQL, NaN as text; prices: by user and day, from user 0 and the first of March."""
+    rows = [(9 * u + i, datetime(2024, 3, 1 + i, 12, u), u, x) for u, xs in enumerate(prices) for i, x in enumerate(xs)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from read_parquet('{path}/events.parquet/*.parquet')")
+    want = c.execute(catalog.ORACLE_SQL[name])
+    cols = [x[0] for x in want.description]
+    return [sorted(tuple("NaN" if x != x else x for x in r) for r in rs) for rs in (catalog.QUERIES[name](spark, str(path)).select(*cols).collect(), want.fetchall())]
+
+
+def test_daily_ic_ranks_returns_on_a_price_of_zero(spark, tmp_path):
+    prices = np.random.default_rng(3).integers(1, 30, (11, 9)).astype(float).tolist()
+    prices[3][1] = prices[4][1] = prices[4][5] = 0.0
+    prices[5][1] = -0.0
+    got, want = _and_sql(spark, tmp_path, "rank_ic_daily_reversal", prices)
+    assert got == want and [r[:2] for r in got] == [("20240305", 10), ("20240306", 11), ("20240307", 11)]
+
+
 def test_ic_decay_fills_missing_lags(spark):
     x = spark.createDataFrame([(1, "a", 10, 0.5), (1, "b", 10, 0.1)], "lag int, trade_date string, n int, ic double")
     got = {r["lag"]: r["mean_ic"] for r in ic.decay(x, (1, 7)).collect()}
