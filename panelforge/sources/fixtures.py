@@ -36,9 +36,10 @@ def bar_m(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bar_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bar per user and day of the events stream: a short history."""
+    """One bar per user and day of the events stream: a short history. Events without a value count
+    but set no price."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    at = F.struct("ts", "event_id")
+    at = F.when(F.col("value").isNotNull(), F.struct("ts", "event_id"))
     b = ev.groupBy(F.col("user_id").alias("sk"), F.date_format("ts", "yyyyMMdd").alias("trade_date")).agg(
         F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").cast("double").alias("vol")
     )

@@ -15,7 +15,7 @@ from panelforge.__main__ import main
 from panelforge.functions import industries, scalars
 from panelforge.operators import backtest, calendar, features, ic, mask, pit, xsection
 from panelforge.plans import report, sync
-from panelforge.sources import synthetic
+from panelforge.sources import fixtures, synthetic
 from panelforge.sources.tables import SCHEMAS, ConcurrentWrite, Warehouse
 
 STOCKS = [
@@ -327,6 +327,23 @@ def test_daily_ic_ranks_returns_on_a_price_of_zero(spark, tmp_path):
     assert got == want and [r[:2] for r in got] == [("20240305", 10), ("20240306", 11), ("20240307", 11)]
 
 
+def test_daily_reversal_keeps_returns_on_a_price_of_zero(spark, tmp_path):
+    got, want = _and_sql(spark, tmp_path, "rev_5_daily", [[0.0, 2.0, -0.0, 4.0, 5.0, 3.0, 0.0]])
+    code, inf = "000000.SH", math.inf
+    assert got == want == [(code, "20240305", inf), (code, "20240306", 0.5), (code, "20240307", "NaN")]
+
+
+def test_daily_bars_without_values(spark, tmp_path):
+    """The last event with a value closes the day; a day without any has a bar, but no price."""
+    at = [(d, h, x) for d in range(1, 9) for h, x in ((9, None), (10, float(d)), (16, None))]
+    rows = [(i, datetime(2024, 3, d, h), 7, None if d == 3 else x) for i, (d, h, x) in enumerate(at)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = [(r["trade_date"][-1], r["open"], r["close"], r["vol"]) for r in fixtures.bar_d(spark, str(tmp_path)).orderBy("trade_date").collect()]
+    assert got == [(str(d), *[None if d == 3 else float(d)] * 2, 3.0) for d in range(1, 9)]
+    rev = catalog.rev_5_daily(spark, str(tmp_path)).orderBy("trade_date").collect()
+    assert [(r["trade_date"][-1], r["rev_5"]) for r in rev] == [("5", 4.0), ("6", 2.0), ("8", 1.0)]
+
+
 def test_ic_decay_fills_missing_lags(spark):
     x = spark.createDataFrame([(1, "a", 10, 0.5), (1, "b", 10, 0.1)], "lag int, trade_date string, n int, ic double")
     got = {r["lag"]: r["mean_ic"] for r in ic.decay(x, (1, 7)).collect()}
